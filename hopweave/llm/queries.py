@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .near_dup import op4_minhash_hamming
 from .pii import op1_pii
+from .sentencepiece_codec import op8_sentencepiece
 from .toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op4_minhash_hamming": op4_minhash_hamming,
     "op6_toxicity": op6_toxicity,
+    "op8_sentencepiece": op8_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {}
