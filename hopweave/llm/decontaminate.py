@@ -40,13 +40,18 @@ BROADCAST_SHINGLES = 2_000_000
 _MAX_CLASS = 40
 
 
-def hashes(text: Column) -> Column:
-    """The distinct shingles of a text as 64-bit hashes: lower-cased words between white space, five at a time, or all of fewer."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    word = F.transform(words, lambda w: F.xxhash64(w))
-    n = F.size(word)
-    many = F.transform(F.sequence(F.lit(1), F.greatest(n - (SHINGLE_WORDS - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(word, i, SHINGLE_WORDS)))
-    return F.when(n > 0, many).otherwise(F.array().cast("array<bigint>"))
+def shingled(rows: DataFrame, key: str) -> DataFrame:
+    """(key, text) -> a row for each shingle: key and the hash h of lower-cased words between white space, five at a time, or all of fewer.
+
+    The word hashes pass through a one-row explode, which keeps the optimiser
+    from working them out again for every shingle.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    w = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.explode(F.array(F.transform(words, lambda w: F.xxhash64(w)))).alias("w"))
+    n = F.size("w")
+    beside = F.arrays_zip(*[F.slice("w", k + 1, F.greatest(n - k, F.lit(0))).alias(f"w{k}") for k in range(SHINGLE_WORDS)])
+    many = F.slice(F.transform(beside, lambda x: F.xxhash64(*[x[f"w{k}"] for k in range(SHINGLE_WORDS)])), 1, n - (SHINGLE_WORDS - 1))
+    return w.where(n > 0).select(key, F.explode(F.when(n >= SHINGLE_WORDS, many).otherwise(F.array(F.xxhash64("w")))).alias("h"))
 
 
 def _levels(size: Column) -> Column:
@@ -72,7 +77,12 @@ def rows_of_band(item_level: int, class_level: int) -> int:
 
 def _signature(shingles: Column) -> Column:
     """HASHES minhashes of a set of hashes."""
-    return F.array(*[F.array_min(F.transform(shingles, lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(HASHES)])
+
+
+    def least(k: int) -> Column:  # a lambda with two arguments would be given the index
+        return F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, F.lit(k))))
+
+    return F.array(*[least(k) for k in range(HASHES)])
 
 
 def _bands(signature: Column, r: Column) -> Column:
@@ -90,11 +100,10 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     lower-cased.
     """
     spark = docs.sparkSession
-    bench = stored(items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.explode(F.array_distinct(hashes(F.col("text").cast("string")))).alias("h")).distinct(), "bench")
+    bench = stored(shingled(items, "item_id").distinct(), "bench")
     known = bench.select("h").distinct()
     known = stored(known, "known")
-    shingles = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(hashes(F.col("text").cast("string"))).alias("h"))
-    hits = shingles.join(small(known, BROADCAST_SHINGLES), "h")
+    hits = shingled(docs, "doc_id").join(small(known, BROADCAST_SHINGLES), "h")
     reduced = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("h")).alias("own"))
     reduced = stored(reduced.select("doc_id", "own", F.xxhash64("own").alias("d1"), F.xxhash64(F.lit(1), "own").alias("d2")), "reduced")
     classes = stored(reduced.groupBy("d1", "d2").agg(F.first("own").alias("own")).withColumn("n", F.size("own")).withColumn("level", _levels(F.col("n"))), "classes")
@@ -105,7 +114,7 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     mine = classes.select("level").distinct()
     live = plan.join(wanted.select("item_level").distinct(), "item_level").join(mine, "level")
     banded = stored(live, "levels")
-    signed_items = wanted.withColumn("sig", _signature(F.col("want")))
+    signed_items = stored(wanted.withColumn("sig", _signature(F.col("want"))), "signed")
     signed = stored(classes.join(F.broadcast(banded.where("r > 0").select("level").distinct()), "level", "left_semi").withColumn("sig", _signature(F.col("own"))), "signed")
     left = signed_items.join(F.broadcast(banded.where("r > 0")), "item_level").select("item_id", "level", F.explode(_bands(F.col("sig"), F.col("r"))).alias("key"))
     right = signed.join(F.broadcast(banded.where("r > 0").select("level", "r").distinct()), "level").select("d1", "d2", "level", F.explode(_bands(F.col("sig"), F.col("r"))).alias("key"))

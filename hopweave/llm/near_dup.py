@@ -12,17 +12,17 @@
    one error that is every pair up to distance 31 of 96; a pair of similarity
    0.75 shares a key unless all 16 chunks have two errors or more, which has a
    probability of 0.466^16 = 5e-6.
-4. Keys of one class are dropped. In each remaining bucket members are compared
-   with one representative: first the member with the largest buckets (the
-   middle of a group), then, in further rounds, varying members of the largest
-   component. A pair whose signature distance can't come from similarity 0.75
-   is passed over (FAR: beyond 5.5 standard deviations), every other one is
-   confirmed on the full sets.
-5. Exact rest: once rounds stop joining, every member left outside the largest
-   component of a bucket is compared with all members of the components it
-   shares a bucket with. Members of one component need no comparison, so a
-   large group costs its size and not its square, and no link between two
-   components is lost.
+4. Keys of one class are dropped, and of keys with the same members one stays.
+   In each bucket signatures are compared (FAR: a distance that similarity 0.75
+   can't have, 5.5 standard deviations), and a spanning forest of the near ones
+   goes on, so a bucket gives fewer rows than it has members. The forests'
+   components are the groups within which all links lie.
+5. Links are confirmed on the full sets inside each group, again as a spanning
+   forest: a member is compared with the rest of its block only while it may
+   still join something that it isn't joined to, so a dense group costs a few
+   comparisons a member and a loose one all of them, and no link between two
+   components is lost. Groups and buckets beyond a block's bound are split into
+   blocks that meet pairwise, so no task holds more than two blocks.
 6. Components by large-star/small-star on stored tables.
 """
 
@@ -45,7 +45,8 @@ HASHES = CHUNKS * WIDTH
 PERCENT = 75
 #: Mean and 5.5 standard deviations of the distance at the least similarity.
 FAR = int(HASHES * (1 - PERCENT / 100) + 5.5 * sqrt(HASHES * PERCENT / 100 * (1 - PERCENT / 100)))
-ROUNDS = 4
+#: Members of a bucket, and members and shingles of a group, that one task holds at once (two blocks at most).
+BUCKET, ROWS, SHINGLES = 4096, 2000, 400_000
 _BLOCK = 4096
 _U = textkit.U64
 _rng = np.random.default_rng(51)
@@ -103,45 +104,117 @@ def _index(batches):
 def _full(batches):
     for whole in batches:
         for b in textkit.slices(whole, "text"):
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.tobytes() for s in _sets(b)], pa.binary())], names=["id", "shingles"])
-
-
-def _near(batches):
-    for b in batches:
-        keep = (_matrix(b.column("x")) != _matrix(b.column("y"))).sum(axis=1) <= FAR
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep))
-
-
-def _confirm(batches):
-    for b in batches:
-        keep = []
-        for x, y in zip(b.column("x"), b.column("y"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), dtype=_U), np.frombuffer(y.as_buffer(), dtype=_U)
-            if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-                keep.append(False)
-                continue
-            both = np.concatenate((x, y))
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * shared >= PERCENT * (len(both) - shared))
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _paired(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
-    """Each pair with both sides' values: only the values that pairs name are shuffled."""
-    sides = [pairs.select("a", "b", F.col(s).alias("id")) for s in "ab"]
-    x, y = (values.join(small(s), "id").select("a", "b", F.col(column).alias(n)) for s, n in zip(sides, "xy", strict=True))
-    return x.join(y, ["a", "b"])
-
-
-def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The stored pairs that are links: signature distance first, then the full sets."""
-    near = stored(_paired(pairs, classes, "sig").mapInArrow(_near, "a long, b long"), "near")
-    return _paired(near, sets, "shingles").mapInArrow(_confirm, "a long, b long")
-
-
-def _ordered(x, y) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+            sets = _sets(b)
+            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("blocks"), b.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["g", "blocks", "id", "shingles"])
+
+
+def grouped(batches, keys: list[str]):
+    """Rows that are sorted by their keys -> a table for each key; only the group at hand is held."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])]).combine_chunks()
+        change = np.zeros(t.num_rows, dtype=bool)
+        for k in keys:
+            x = t.column(k).to_numpy()
+            change[1:] |= x[1:] != x[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist()]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield t.slice(a, b - a)
+        rest = t.slice(cuts[-1])
+    if rest is not None:
+        yield rest
+
+
+def forest(labels: np.ndarray, reach) -> list[tuple[int, int]]:
+    """Edges that join what links join. labels: what is joined already; reach(i): the rows linked with row i.
+
+    Row by row, of the smaller components first, until any two rows that weren't
+    compared are joined anyway.
+    """
+    labels, passed, edges = labels.copy(), np.zeros(len(labels), dtype=bool), []
+    while True:
+        left = np.flatnonzero(~passed)
+        names, counts = np.unique(labels[left], return_counts=True)
+        if len(names) < 2:
+            return edges
+        i = int(left[labels[left] != names[counts.argmax()]][0])
+        passed[i] = True
+        near = reach(i)
+        old, first = np.unique(labels[near], return_index=True)
+        for name, k in zip(old.tolist(), first.tolist(), strict=True):
+            if name != labels[i]:
+                edges.append((i, int(near[k])))
+                labels[labels == name] = labels[i]
+
+
+def _edges(found: list[np.ndarray]) -> pa.RecordBatch:
+    e = np.concatenate([*found, np.zeros((0, 2), dtype=np.int64)])
+    return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
+
+
+def _buckets(batches):
+    """Members of each bucket with their signatures -> a forest of the near ones."""
+    found, n = [], 0
+    for t in grouped(batches, ["key", "i", "j"]):
+        ids, s = t.column("id").to_numpy(), _matrix(t.column("sig"))
+        if t.num_rows == 2:
+            e = [(0, 1)] if (s[0] != s[1]).sum() <= FAR else []
+        else:
+            e = forest(np.arange(len(ids)), lambda i, s=s: np.flatnonzero((s != s[i]).sum(axis=1) <= FAR))
+        if e:
+            found.append(ids[np.array(e)])
+            n += len(e)
+        if n > 50_000:
+            yield _edges(found)
+            found, n = [], 0
+    yield _edges(found)
+
+
+def _groups(batches):
+    """Members of each block (or pair of blocks) of a group with their sets -> a forest of the links."""
+    found, n = [], 0
+    for t in grouped(batches, ["g", "i", "j"]):
+        ids, sets = t.column("id").to_numpy(), [np.frombuffer(x, dtype=_U) for x in t.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        at = np.concatenate(([0], np.cumsum(size)))
+        names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(len(names), dtype=np.int64)
+
+        def reach(i, at=at, flat=flat, mark=mark, size=size):
+            own = flat[at[i] : at[i + 1]]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[flat], at[:-1])
+            mark[own] = 0
+            return np.flatnonzero(100 * shared >= PERCENT * (size + size[i] - shared))
+
+        if e := forest(t.column("label").to_numpy(), reach):
+            found.append(ids[np.array(e)])
+            n += len(e)
+        if n > 50_000:
+            yield _edges(found)
+            found, n = [], 0
+    yield _edges(found)
+
+
+def _block_pairs(own, blocks):
+    """A row of block `own` goes to each pair of blocks that it is in: (i, j), i <= j; alone in one block to (0, 0)."""
+    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
+    return F.when(blocks == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(others)
+
+
+def _streamed(rows: DataFrame, keys: list[str], run) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def _within(sets: DataFrame, labels: DataFrame, pairs: bool) -> DataFrame:
+    """Links inside each block, or with `pairs` between the blocks of the groups that have several."""
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    at = F.explode(F.filter(_block_pairs(own, F.col("blocks")), lambda x: (x["i"] == x["j"]) != pairs))
+    rows = (sets.where("blocks > 1") if pairs else sets).select("g", "id", "shingles", at.alias("at"))
+    rows = rows.join(small(labels), "id", "left").select("g", "at.i", "at.j", "id", F.coalesce("label", "id").alias("label"), "shingles")
+    return _streamed(rows, ["g", "i", "j"], _groups)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -160,49 +233,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
 
     every = classes.select("id", "sig").mapInArrow(_index, "key long, id long")
-    shared = stored(every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "keys")
-    members = stored(every.join(shared, "key"), "members")
-    wanted = stored(members.groupBy("id").agg(F.sum("c").alias("weight")), "wanted")
-    texts = docs.withColumnRenamed("doc_id", "id").join(small(wanted.select("id")), "id", "left_semi")
-    sets = stored(texts.mapInArrow(_full, "id long, shingles binary").distinct(), "sets")
-    sigs = classes.select("id", "sig")
+    buckets = every.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("c > 1")
+    buckets = stored(buckets.groupBy("c", "x", "lo", "hi").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / BUCKET).cast("int").alias("blocks")), "buckets")
+    members = stored(every.join(buckets, "key"), "members")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = members.select("id", "key", F.explode(_block_pairs(own, F.col("blocks"))).alias("at")).join(classes.select("id", "sig"), "id").select("key", "at.i", "at.j", "id", "sig")
+    near = stored(_streamed(rows, ["key", "i", "j"], _buckets), "near")
 
     # rows that repeat an id with another set hold their classes together
-    links = stored(real.join(classes.drop("sig"), ["n_shingles", "d1", "d2"]).where("doc_id <> id").join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(*_ordered(F.col("doc_id"), F.col("id"))), "links")
-    tried = None
-    labels = stored(components(links), "labels")
-    for turn in range(ROUNDS):
-        size = labels.groupBy("label").agg(F.count("*").alias("size"))
-        now = wanted.join(labels.join(size, "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label"), F.coalesce("size", F.lit(1)).alias("size"), (F.col("weight") if turn == 0 else F.xxhash64("id", F.lit(turn))).alias("rank"))
-        now = stored(now, "now")
-        rows = stored(members.select("key", "id").join(now, "id"), "rows")
-        heads = rows.groupBy("key").agg(F.max(F.struct("size", F.col("label").alias("head_label"), F.when(F.lit(turn) == 0, F.col("rank")).otherwise(F.xxhash64("rank", "key")).alias("r"), F.col("id").alias("head"))).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "h.head", "h.head_label")
-        pairs = rows.join(heads, "key").where("label <> head_label").select(*_ordered(F.col("id"), F.col("head"))).distinct()
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = stored(_linked(pairs, sigs, sets), "links")
-        found = new.count()
-        links = links.unionByName(new)
-        if found:
-            labels = stored(components(links), "labels")
-        dropped(now, rows)
-        if not found:
-            break
-
-    # the exact rest: members outside the largest component of a bucket, against all of the components they meet there
-    rows = stored(members.select("key", "id").join(wanted.select("id"), "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "rows")
-    sizes = rows.select("id", "label").distinct().groupBy("label").agg(F.count("*").alias("size"))
-    met = stored(rows.select("key", "label").distinct().join(sizes, "label"), "met")
-    top = met.groupBy("key").agg(F.max(F.struct("size", "label")).alias("t"), F.count("*").alias("n")).where("n > 1").select("key", F.col("t.label").alias("top"))
-    single = rows.join(top, "key").where("label <> top").select("key", "id", "label")
-    meets = single.join(met.select("key", F.col("label").alias("other")), "key").where("label <> other").select("id", "label", "other").distinct()
-    inside = rows.select(F.col("id").alias("with"), F.col("label").alias("other")).distinct()
-    pairs = meets.join(inside, "other").select(*_ordered(F.col("id"), F.col("with"))).distinct()
-    pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    new = stored(_linked(pairs, sigs, sets), "links")
-    if new.count():
-        labels = stored(components(links.unionByName(new)), "labels")
-    dropped(rows, met, sets, members, shared)
+    twice = real.join(classes.drop("sig"), ["n_shingles", "d1", "d2"]).where("doc_id <> id").join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    links = stored(twice.select(F.col("doc_id").alias("a"), F.col("id").alias("b")), "links")
+    groups = stored(components(near.unionByName(links)), "groups")
+    sizes = groups.join(classes.select("id", "n_shingles"), "id").groupBy("label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    groups = stored(groups.join(sizes, "label").select("id", F.col("label").alias("g"), F.ceil(F.greatest(F.col("n") / ROWS, F.col("s") / SHINGLES)).cast("int").alias("blocks")), "groups")
+    texts = docs.withColumnRenamed("doc_id", "id").join(small(groups), "id")
+    sets = stored(texts.select("g", "blocks", "id", "text").mapInArrow(_full, "g long, blocks int, id long, shingles binary"), "sets")
+    inside = stored(_within(sets, links.select(F.col("a").alias("id"), F.col("b").alias("label")).limit(0), False), "links").unionByName(links)
+    labels = stored(components(inside), "labels")
+    if groups.where("blocks > 1").limit(1).count():
+        between = stored(_within(sets, labels, True), "links")
+        labels = stored(components(inside.unionByName(between)), "labels")
+    dropped(members, near, sets)
 
     of = stored(classes.select("n_shingles", "d1", "d2", "id").join(labels, "id", "left").select("n_shingles", "d1", "d2", F.coalesce("label", "id").alias("component")), "of")
     out = signed.drop("sig").join(of, ["n_shingles", "d1", "d2"], "left")
