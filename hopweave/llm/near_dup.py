@@ -261,5 +261,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows, all columns as they are, of one document (the smallest id) of each group; rows that repeat an id leave one, rows without an id stay."""
+    found = stored(near_duplicates(docs), "groups")
+    gone = stored(found.where("not kept").select("doc_id").distinct(), "gone")
+    twice = stored(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    if not twice.limit(1).count():
+        return left
+    again = left.join(small(twice), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return left.join(small(twice), "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+
+
 def op4_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

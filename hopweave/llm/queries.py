@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op7_decontamination
 from .near_dup import op4_minhash_hamming
 from .pii import op1_pii
 from .sentencepiece_codec import op8_sentencepiece
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op4_minhash_hamming": op4_minhash_hamming,
     "op6_toxicity": op6_toxicity,
+    "op7_decontamination": op7_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
 }
 

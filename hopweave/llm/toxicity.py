@@ -159,33 +159,50 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(sorted(rows, key=lambda r: (bytes(r["x"]), r["toxic"])))
 
 
+def _weigher(model: Model):
+    """A function of a text column: each row's score, its sentences, and its worst sentence's score and byte range."""
+    bias, kept = model.bias, np.flatnonzero(model.weights)
+    values = model.weights[kept]
+
+    def weigh(column: pa.Array, w: list = []):  # noqa: B006  the table is made once a task
+        if not w:
+            w.append(np.zeros((1 << FEATURE_BITS) + 1, dtype=np.float32))  # the last is of "none"
+            w[0][kept] = values
+        x, sentence, row_first, first, stop = features(column)
+        pairs = np.unique(((sentence[:, None] << FEATURE_BITS) | x)[w[0][x] != 0])
+        z = np.bincount(pairs >> FEATURE_BITS, weights=w[0][pairs & ((1 << FEATURE_BITS) - 1)], minlength=len(first)) + bias
+        p = np.minimum(sigmoid(z), 1 - 1e-12)
+        quiet = np.add.reduceat(np.log1p(-p), row_first)
+        bounds = np.append(row_first, len(first))
+        worst = np.array([i + int(np.argmax(p[i:j])) for i, j in zip(bounds[:-1], bounds[1:], strict=True)])
+        _, at = textkit.buffers(column)
+        return np.clip(-np.expm1(quiet), 0, 1), np.diff(bounds), p[worst], first[worst] - at[:-1], stop[worst] - at[:-1]
+
+    return weigh
+
+
 def _scorer(model: Model):
-    weights, bias = model.weights, model.bias
-    kept = np.flatnonzero(weights)
-    values = weights[kept]
+    weigh = _weigher(model)
 
     def score(batches):
-        w = np.zeros((1 << FEATURE_BITS) + 1, dtype=np.float32)  # the last is of "none"
-        w[kept] = values
         for whole in batches:
             for b in textkit.slices(whole, "text"):
-                x, sentence, row_first, first, stop = features(b.column("text"))
-                live = w[x] != 0
-                pairs = np.unique(((sentence[:, None] << FEATURE_BITS) | x)[live])
-                z = np.bincount(pairs >> FEATURE_BITS, weights=w[pairs & ((1 << FEATURE_BITS) - 1)], minlength=len(first)) + bias
-                p = np.minimum(sigmoid(z), 1 - 1e-12)
-                quiet = np.add.reduceat(np.log1p(-p), row_first)
-                bounds = np.append(row_first, len(first))
-                worst = np.array([i + int(np.argmax(p[i:j])) for i, j in zip(bounds[:-1], bounds[1:], strict=True)])
-                _, at = textkit.buffers(b.column("text"))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(np.clip(-np.expm1(quiet), 0, 1)), pa.array(np.diff(bounds)), pa.array(p[worst]), pa.array(first[worst] - at[:-1]), pa.array(stop[worst] - at[:-1])],
-                    names=["doc_id", "score", "n_sentences", "worst_score", "worst_begin", "worst_end"],
-                )
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, weigh(b.column("text")))], names=["doc_id", "score", "n_sentences", "worst_score", "worst_begin", "worst_end"])
 
     return score
 
 
+def _sieve(model: Model, threshold: float):
+    weigh = _weigher(model)
+
+    def run(batches):
+        for whole in batches:
+            for b in textkit.slices(whole, "text"):
+                yield b.filter(pa.array(weigh(b.column("text"))[0] < threshold))
+
+    return run
+
+
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, text, ...) -> a row each: doc_id, score, n_sentences, and the worst sentence's score and byte range.
 
@@ -195,6 +212,13 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scorer(model), "doc_id long, score double, n_sentences long, worst_score double, worst_begin long, worst_end long")
 
 
+def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, all columns as they are, whose score is below the threshold."""
+    ship(docs.sparkSession)
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    return docs.mapInArrow(_sieve(model, threshold), docs.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
