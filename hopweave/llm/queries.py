@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op7_decontamination
 from .near_dup import op4_minhash_hamming
 from .pii import op1_pii
+from .secrets import op3_secrets
 from .sentencepiece_codec import op8_sentencepiece
 from .toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op3_secrets": op3_secrets,
     "op4_minhash_hamming": op4_minhash_hamming,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
