@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op7_decontamination
+from .html_text import op9_html_text
 from .near_dup import op4_minhash_hamming
 from .pii import op1_pii
 from .secrets import op3_secrets
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_html_text": op9_html_text,
 }
 
 ORACLES: dict[str, str] = {}
