@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op7_decontamination
+from .hash_forest import op5_nearest
 from .html_text import op9_html_text
 from .near_dup import op4_minhash_hamming
 from .pii import op1_pii
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_secrets": op3_secrets,
     "op4_minhash_hamming": op4_minhash_hamming,
+    "op5_nearest": op5_nearest,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
