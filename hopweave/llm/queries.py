@@ -11,12 +11,15 @@ from .hash_forest import op5_nearest
 from .html_text import op9_html_text
 from .near_dup import op4_minhash_hamming
 from .pii import op1_pii
+from .quotes import ORACLE as QUOTES_ORACLE
+from .quotes import op2_quote_links
 from .secrets import op3_secrets
 from .sentencepiece_codec import op8_sentencepiece
 from .toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_quote_links": op2_quote_links,
     "op3_secrets": op3_secrets,
     "op4_minhash_hamming": op4_minhash_hamming,
     "op5_nearest": op5_nearest,
@@ -26,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": op9_html_text,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_quote_links": QUOTES_ORACLE}
