@@ -15,6 +15,7 @@ from .quotes import ORACLE as QUOTES_ORACLE
 from .quotes import op2_quote_links
 from .secrets import op3_secrets
 from .sentencepiece_codec import op8_sentencepiece
+from .token_counts import op10_token_rollup
 from .toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_html_text": op9_html_text,
+    "op10_token_rollup": op10_token_rollup,
 }
 
 ORACLES: dict[str, str] = {"op2_quote_links": QUOTES_ORACLE}
