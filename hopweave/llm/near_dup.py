@@ -233,9 +233,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
 
     every = classes.select("id", "sig").mapInArrow(_index, "key long, id long")
-    buckets = every.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("c > 1")
-    buckets = stored(buckets.groupBy("c", "x", "lo", "hi").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / BUCKET).cast("int").alias("blocks")), "buckets")
-    members = stored(every.join(buckets, "key"), "members")
+    buckets = every.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("lo")).where("c > 1")
+    buckets = stored(buckets.groupBy("c", "x", "lo").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / BUCKET).cast("int").alias("blocks")), "buckets")
+    members = stored(every.join(small(buckets), "key"), "members")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = members.select("id", "key", F.explode(_block_pairs(own, F.col("blocks"))).alias("at")).join(classes.select("id", "sig"), "id").select("key", "at.i", "at.j", "id", "sig")
     near = stored(_streamed(rows, ["key", "i", "j"], _buckets), "near")
