@@ -46,7 +46,7 @@ def _hash(text: Column) -> list[Column]:
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """A row each with its lines folded into passages: level, text. Nested levels keep their own passages.
+    """conv_id, turn, role, text and passages (level, body) of each row; nested levels keep their own passages.
 
     All inside the row, so parsing shuffles nothing, and linear in its lines. A
     one-row explode keeps each step's arrays from being worked out again for
@@ -57,7 +57,7 @@ def parsed(messages: DataFrame) -> DataFrame:
     # text without a mark is one line here: it needs no cutting
     line = F.when(marked, F.split(text, "\r?\n")).otherwise(F.array(text))
     once = lambda c, name: F.explode(F.array(c)).alias(name)
-    rows = messages.select("*", once(line, "line"))
+    rows = messages.select("conv_id", "turn", "role", "text", once(line, "line"))
     level = F.transform("line", lambda x: F.length(F.regexp_replace(F.regexp_extract(x, _QUOTE, 0), "[^>]", "")))
     rows = rows.select("*", once(level, "level"))
     starts = F.filter(F.sequence(F.lit(1), F.size("line")), lambda i: (i == 1) | (F.element_at("level", i) != F.element_at("level", F.greatest(i - 1, F.lit(1)))))

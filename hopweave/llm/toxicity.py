@@ -13,6 +13,7 @@ the driver. Scoring is one pass over all whole texts, without a shuffle.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ PREFIXES = (4, 5, 6, 7)
 MIN_DOCUMENTS = 6
 THRESHOLD = 0.7
 STEPS, RATE, RIDGE = 200, 0.1, 1e-4
+_PART = 250
 
 _U = textkit.U64
 _LETTER = np.zeros(256, dtype=bool)
@@ -107,36 +109,39 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list) -> Model:
-    """Fit by gradient steps (Adam) on the noisy-or likelihood. Without rows of both classes the score is the share of toxic rows."""
+    """Fit by gradient steps (Adam) on the noisy-or likelihood; `rows` is used up. Without rows of both classes the score is the share of toxic rows."""
     y = np.array([r["toxic"] for r in rows], dtype=float)
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 0.999))
         return Model(np.zeros(1 << FEATURE_BITS, dtype=np.float32), float(np.log(share / (1 - share))))
-    counts = np.array([r["n"] for r in rows])
-    base = np.concatenate(([0], np.cumsum(counts)))
-    doc = np.repeat(np.arange(len(rows)), counts)
     used = np.zeros(1 << FEATURE_BITS, dtype=np.int32)
     for r in rows:
         used[np.unique(np.frombuffer(r["x"], dtype=np.int32))] += 1
     ids = np.flatnonzero(used >= MIN_DOCUMENTS)
     small = np.full(1 << FEATURE_BITS, -1, dtype=np.int32)
     small[ids] = np.arange(len(ids))
-    cols, at = [], []
-    for r, b in zip(rows, base, strict=False):
-        c = small[np.frombuffer(r["x"], dtype=np.int32)]
-        cols.append(c[c >= 0])
-        at.append((np.frombuffer(r["sentence"], dtype=np.int32)[c >= 0] + b).astype(np.int32))
-    col, which = np.concatenate(cols), np.concatenate(at)
-    n = len(doc)
+    parts, sentences = [], sum(r["n"] for r in rows)
+    for at in range(0, len(rows), _PART):  # documents go part by part, so that a step's arrays stay small
+        part = rows[at : at + _PART]
+        counts = np.array([r["n"] for r in part])
+        base = np.concatenate(([0], np.cumsum(counts)))
+        cols, where = [], []
+        for k, r in enumerate(part):
+            c = small[np.frombuffer(r["x"], dtype=np.int32)]
+            cols.append(c[c >= 0])
+            where.append((np.frombuffer(r["sentence"], dtype=np.int32)[c >= 0] + base[k]).astype(np.int32))
+            rows[at + k] = None  # its bytes aren't needed any more
+        parts.append((np.concatenate(cols), np.concatenate(where), np.repeat(np.arange(len(part)), counts).astype(np.int32), y[at : at + _PART]))
     theta, m, v = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
-    theta[-1] = np.log(y.mean() / counts.mean())
+    theta[-1] = np.log(y.mean() * len(y) / sentences)
     for t in range(1, STEPS + 1):
-        z = np.bincount(which, weights=theta[col], minlength=n) + theta[-1]
-        p = np.minimum(sigmoid(z), 1 - 1e-9)
-        none = np.exp(np.maximum(np.bincount(doc, weights=np.log1p(-p), minlength=len(y)), -30))
-        slope = p * np.where(y[doc] > 0, -none[doc] / np.maximum(1 - none[doc], 1e-9), 1.0)
-        g = np.append(np.bincount(col, weights=slope[which], minlength=len(ids)), slope.sum()) / len(y)
-        g[:-1] += RIDGE * theta[:-1]
+        g = RIDGE * np.append(theta[:-1], 0.0)
+        for col, which, doc, own in parts:
+            z = np.bincount(which, weights=theta[col], minlength=len(doc)) + theta[-1]
+            p = np.minimum(sigmoid(z), 1 - 1e-9)
+            none = np.exp(np.maximum(np.bincount(doc, weights=np.log1p(-p), minlength=len(own)), -30))
+            slope = p * np.where(own[doc] > 0, -none[doc] / np.maximum(1 - none[doc], 1e-9), 1.0)
+            g += np.append(np.bincount(col, weights=slope[which], minlength=len(ids)), slope.sum()) / len(y)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     weights = np.zeros(1 << FEATURE_BITS, dtype=np.float32)
@@ -156,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded by `sample`
     own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
     rows = own.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(_cut, "toxic int, x binary, sentence binary, n int").collect()
-    return fit(sorted(rows, key=lambda r: (bytes(r["x"]), r["toxic"])))
+    return fit(sorted(rows, key=lambda r: (crc32(r["x"]), crc32(r["sentence"]), r["toxic"])))
 
 
 def _weigher(model: Model):
