@@ -6,29 +6,29 @@ each tree, then all trees ascend together, one bit at a time, and every level
 adds the rows whose strings share that shorter prefix, until enough candidates
 are met. Candidates are scored exactly, by cosine in double precision.
 
-On Spark a tree is cut by its first bits into shards that one task can hold
-(bounded bytes; a shard beyond the bound is cut again by a salt, its queries too,
-and every part of the rows meets every part of the queries), so the sorted arrays live where their rows are:
+On Spark a tree's rows are dealt by a hash into parts that one task can hold
+(bounded bytes), its queries into blocks, and every part of the rows meets
+every block of the queries, so the sorted arrays live where their rows are and
+no prefix, however short, is out of reach:
 
 1. rows of equal vectors become one row with their smallest ids (ties go to the
    smaller id, so no other copy can be in a result);
-2. pass one counts, in each shard and for each query there, how many rows share
-   each prefix length (binary search in the sorted array);
-3. counts are added up over the trees, and each query gets the longest prefix
-   length at which all trees together offer SHARE of the rows (CANDIDATES at
-   least);
-4. pass two takes these rows as candidates, scores them in the shard and hands
-   on each shard's best; a last aggregation keeps the best of all.
-
-Queries meet only rows of their own shard; both passes move each row once a
-tree. The hyperplanes are random and need no fitting. Shards' first bits are
-never given up while ascending; SHARD_ROWS sets how many bits those are.
+2. pass one counts, in each part and for each query, how many rows share each
+   prefix length (binary search in the sorted array);
+3. counts are added up over parts and trees, and each query gets the longest
+   prefix length at which all trees together offer SHARE of the rows
+   (CANDIDATES at least), whatever the size of the table;
+4. pass two takes these rows as candidates, scores them in the part (queries of
+   one prefix together) and hands on each part's best; a last aggregation keeps
+   the best of all.
+
+Both passes move each row once a tree and block of queries. The hyperplanes are
+random and need no fitting. As a query looks at a share of the table, the work
+grows with rows times queries.
 """
 
 from __future__ import annotations
 
-from math import floor, log2
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,8 +39,10 @@ from .runtime import ship, small, stored, table
 TREES, BITS, NEAREST, EVERY = 20, 32, 5, 50
 #: Rows that a query looks at: this many over all trees, and at least this share of the table.
 CANDIDATES, SHARE = 4000, 0.7
-#: Bytes of vectors that one task holds of a shard's rows, and of its queries; and rows a shard should have.
-PART_BYTES, SHARD_ROWS = 32 << 20, 1 << 17
+#: Bytes of vectors that one task holds of a tree's rows, and of its queries.
+PART_BYTES = 32 << 20
+#: Scores that are held at once.
+_SCORES = 1 << 21
 SEED = 20
 
 
@@ -66,7 +68,7 @@ def _valid(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["vec_id", "v"])
 
 
-def _hasher(dimension: int, trees: int, bits: int, first: int):
+def _hasher(dimension: int, trees: int, bits: int):
     def run(batches):
         p = planes(dimension, trees, bits)
         weights = (1 << np.arange(bits - 1, -1, -1, dtype=np.int64)).astype(np.int64)
@@ -80,8 +82,8 @@ def _hasher(dimension: int, trees: int, bits: int, first: int):
                 taken = b.take(pa.array(rows))
                 flat = codes.ravel()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(np.arange(trees, dtype=np.int32), len(x))), pa.array(flat >> (bits - first)), pa.array(flat), *[taken.column(n) for n in ("row", "v", "asks")]],
-                    names=["tree", "shard", "code", "row", "v", "asks"],
+                    [pa.array(np.tile(np.arange(trees, dtype=np.int32), len(x))), pa.array(flat), *[taken.column(n) for n in ("row", "v", "asks")]],
+                    names=["tree", "code", "row", "v", "asks"],
                 )
 
     return run
@@ -114,21 +116,28 @@ def _searcher(dimension: int, bits: int, nearest: int):
         norm = np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1) * np.abs(x).max(axis=1)
         out_q, out_r, out_s = [], [], []
         asks = table.filter(table.column("query"))
-        for q, code, level, v in zip(asks.column("row").to_pylist(), asks.column("code").to_pylist(), asks.column("level").to_pylist(), asks.column("v").to_pylist(), strict=True):
-            shift = np.int64(bits - level)
-            low = (np.int64(code) >> shift) << shift
-            a, b = np.searchsorted(codes, low), np.searchsorted(codes, low + (np.int64(1) << shift))
-            if a == b:
+        shift = bits - asks.column("level").to_numpy().astype(np.int64)
+        low = (asks.column("code").to_numpy() >> shift) << shift
+        begin, end = np.searchsorted(codes, low), np.searchsorted(codes, low + (np.int64(1) << shift))
+        y = _matrix(asks.column("v"), dimension)
+        y = y / np.abs(y).max(axis=1, keepdims=True)
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        ask_ids = asks.column("row").to_numpy()
+        together = np.lexsort((end, begin))  # queries of one range stand together
+        cuts = np.flatnonzero(np.diff(begin[together]) | np.diff(end[together])) + 1
+        for group in np.split(together, cuts):
+            if not len(group) or begin[group[0]] == end[group[0]]:
                 continue
-            y = np.frombuffer(v, dtype="<f8")
-            scale = np.abs(y).max()
-            score = (x[a:b] @ (y / scale)) / (norm[a:b] * np.linalg.norm(y / scale))
-            k = min(len(score), nearest + 2)
-            edge = np.partition(score, len(score) - k)[len(score) - k]
-            best = np.flatnonzero(score >= edge - 1e-12)  # ties at the edge go on, too
-            out_q += [q] * len(best)
-            out_r += row_ids[a + best].tolist()
-            out_s += score[best].tolist()
+            a, b = begin[group[0]], end[group[0]]
+            step = max(1, _SCORES // int(b - a))
+            for some in (group[i : i + step] for i in range(0, len(group), step)):
+                score = (y[some] @ x[a:b].T) / norm[a:b]
+                k = min(int(b - a), nearest + 2)
+                edge = np.partition(score, score.shape[1] - k, axis=1)[:, -k, None]
+                which, best = np.nonzero(score >= edge - 1e-12)  # ties at the edge go on, too
+                out_q += ask_ids[some[which]].tolist()
+                out_r += row_ids[a + best].tolist()
+                out_s += score[which, best].tolist()
         return pa.table({"query": pa.array(out_q, pa.int64()), "row": pa.array(out_r, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
     return run
@@ -177,28 +186,25 @@ def nearest(vectors: DataFrame, trees: int = TREES, bits: int = BITS, k: int = N
     firsts = stored(_smallest(copies, k + 1), "firsts")
     base = unique.select("row", "v", "asks")
     count = unique.count()
-    first = max(0, floor(log2(max(1, count) / SHARD_ROWS)) + 1) if count > SHARD_ROWS else 0
-    target = int(max(candidates, share * min(count, SHARD_ROWS)))
-    hashed = stored(base.mapInArrow(_hasher(dimension, trees, bits, first), "tree int, shard long, code long, row long, v binary, asks boolean"), "hashed")
+    target = int(max(candidates, share * count))
+    hashed = stored(base.mapInArrow(_hasher(dimension, trees, bits), "tree int, code long, row long, v binary, asks boolean"), "hashed")
     bound = max(1, PART_BYTES // (8 * dimension))
-    cut = lambda n: F.greatest(F.ceil(n / bound), F.lit(1)).cast("int")
-    parts = stored(hashed.groupBy("tree", "shard").agg(cut(F.count("*")).alias("parts"), cut(F.count_if("asks")).alias("blocks")), "shards")
+    parts, blocks = (max(1, -(-n // bound)) for n in (count, unique.where("asks").count()))
 
-    # an index row lies in one part of its shard and meets every block of queries, a query lies in one block and meets every part
+    # an index row lies in one part of its tree and meets every block of queries, a query lies in one block and meets every part
     def dealt(rows: DataFrame, query: bool) -> DataFrame:
-        rows = rows.join(small(parts), ["tree", "shard"])
-        every_one = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        own = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
-        rows = rows.withColumn("part", every_one("parts") if query else own("parts")).withColumn("block", own("blocks") if query else every_one("blocks"))
-        return rows.drop("parts", "blocks").withColumn("index", F.lit(not query)).withColumn("query", F.lit(query))
+        every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        own = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+        rows = rows.withColumn("part", every_one(parts) if query else own(parts)).withColumn("block", own(blocks) if query else every_one(blocks))
+        return rows.withColumn("index", F.lit(not query)).withColumn("query", F.lit(query))
 
     both = dealt(hashed, False).unionByName(dealt(hashed.where("asks"), True))
-    counted = both.select("tree", "shard", "part", "block", "code", "row", "index", "query").groupBy("tree", "shard", "part", "block").applyInArrow(_counter(bits), "row long, counts array<long>")
+    counted = both.select("tree", "part", "block", "code", "row", "index", "query").groupBy("tree", "part", "block").applyInArrow(_counter(bits), "row long, counts array<long>")
     lengths = counted.select("row", F.posexplode("counts").alias("level", "n")).groupBy("row", "level").agg(F.sum("n").alias("n"))
-    levels = stored(lengths.where((F.col("n") >= target) | (F.col("level") == first)).groupBy("row").agg(F.max("level").alias("level")), "levels")
+    levels = stored(lengths.where((F.col("n") >= target) | (F.col("level") == 0)).groupBy("row").agg(F.max("level").alias("level")), "levels")
     asking = dealt(hashed.where("asks").join(small(levels), "row"), True)
     both = dealt(hashed, False).withColumn("level", F.lit(0)).unionByName(asking)
-    met = both.select("tree", "shard", "part", "block", "code", "row", "v", "level", "index", "query").groupBy("tree", "shard", "part", "block").applyInArrow(_searcher(dimension, bits, k), "query long, row long, score double")
+    met = both.select("tree", "part", "block", "code", "row", "v", "level", "index", "query").groupBy("tree", "part", "block").applyInArrow(_searcher(dimension, bits, k), "query long, row long, score double")
     met = met.groupBy("query", "row").agg(F.max("score").alias("score"))
     # the best of all trees, then their exact scores
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "row"))

@@ -254,3 +254,17 @@ def test_pipeline_whole_table(spark, sf_dir):
     assert set(rows[4]) == set(rows[3]) and all(s[0] != "email" for t in rows[4].values() for s in plain_pii(t or ""))
     last = p.STAGES[-1][1](spark, at[-1], sf_dir).collect()
     assert {r["doc_id"] for r in last} == set(rows[4]) and all(r["round_trip"] for r in last)
+
+
+def test_nearest_looks_at_a_share_of_any_table(spark, monkeypatch):
+    """As a table far larger than what one task holds: the share of rows looked at doesn't fall."""
+    monkeypatch.setattr(hash_forest, "SHARD_ROWS", 128, raising=False)
+    monkeypatch.setattr(hash_forest, "PART_BYTES", 600 * 64 * 8)
+    x = np.random.default_rng(8).standard_normal((3000, 64))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]) for r in hash_forest.nearest(rows, candidates=10).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit[::50] @ unit.T
+    s[np.arange(60), np.arange(0, 3000, 50)] = -9
+    want = {(50 * q, int(i)) for q in range(60) for i in np.argsort(-s[q])[: hash_forest.NEAREST]}
+    assert len(got & want) >= 0.9 * len(want)
