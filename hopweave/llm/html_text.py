@@ -11,6 +11,10 @@ the side on which both agree, else the nearer one (ties: good). A heading
 takes the label of the first decided block after it. Where the page marks its
 article, blocks inside it count as good unless something in it encloses them
 that doesn't belong, and undecided blocks outside need good text on both sides.
+An article that is itself a comment, or that a marked element encloses, is
+doubtful: a layout wrapper looks the same as a list of comments. It counts if
+it is longer than all the good text less doubtful than it, and never makes text
+outside it boilerplate.
 """
 
 from __future__ import annotations
@@ -44,29 +48,45 @@ STOP_WORDS = frozenset("a an and are as at be by for from he in is it of on or s
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _MARKS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+# Names that say what a wrapper has or lacks ("has-sidebar"), and an article's name that is a mark as a whole ("comment", "comment-12").
+_WITH = re.compile(r"(?:^|[_-])(?:has|with|no|without)[_-]", re.I)
+_WHOLE = re.compile(r"(?:[^\s_-]+)(?:-\d+)?")
 _SPACE = re.compile(r"[\s ]+")
 
 
 class Block:
-    __slots__ = ("parts", "linked", "outside", "article", "heading", "label", "text")
+    __slots__ = ("parts", "linked", "outside", "article", "heading", "label", "text", "doubt", "which")
 
-    def __init__(self, outside: bool, article: bool, heading: bool):
+    def __init__(self, outside: bool, article: bool, heading: bool, doubt: int = 0, which: int = 0):
         self.parts: list[str] = []
         self.linked = 0
         self.outside, self.article, self.heading = outside, article, heading
+        self.doubt, self.which = doubt, which  # marks on and around its article, and that article's number
         self.label = OPEN
         self.text = ""
 
 
+def _names(attributes: str) -> list[str]:
+    return [w for x in _MARKS.findall(attributes) for w in (x[0] or x[1] or x[2]).split() if not _WITH.search(w)]
+
+
 def _marked(attributes: str) -> bool:
-    return any(_MARKED.search(x[0] or x[1] or x[2]) for x in _MARKS.findall(attributes))
+    return any(_MARKED.search(w) for w in _names(attributes))
+
+
+def _comment(attributes: str) -> bool:
+    """Whether an article's own name says that it is none; words within a name ("comments-open") don't."""
+    return any(_WHOLE.fullmatch(w) and _MARKED.search(w) for w in _names(attributes))
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, those without text left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open block tags: name, outside, article
+    stack: list[tuple] = []  # open block tags: name, and what holds inside them
+    none = ("", False, False, 0, 0, 0, False)  # outside, article, doubt, number of the article, marks since, in an <article>
+    articles = 0
     outside = article = heading = False
+    doubt = which = 0
     dropped = links = 0
     now = Block(False, False, False)
     at = 0
@@ -77,7 +97,7 @@ def blocks(page: str) -> list[Block]:
         if text:
             now.text = text
             out.append(now)
-        now = Block(outside, article, heading)
+        now = Block(outside, article, heading, doubt, which)
 
     while True:
         m = _TAG.search(page, at)
@@ -120,17 +140,46 @@ def blocks(page: str) -> list[Block]:
         elif name not in _VOID and not attributes.endswith("/"):
             if name in ("p", "li", *_HEADINGS) and stack and stack[-1][0] in ("p", *_HEADINGS, *(("li",) if name == "li" else ())):
                 stack.pop()
-            up = stack[-1] if stack else ("", False, False)
-            inside = up[2] or name in _ARTICLE
-            off = up[1] or (name in _OUTSIDE and not (name == "header" and up[2])) or bool(attributes and name not in ("html", "body", "article", "main") and _marked(attributes))
-            stack.append((name, off, inside))
-        outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            _, hard, inside, doubt, which, marks, deep = stack[-1] if stack else none
+            if name in _ARTICLE:
+                own = name == "article" and bool(attributes) and _comment(attributes)
+                if not deep and not (own and marks):  # marks around it are in doubt; a marked list's marked article isn't
+                    doubt, marks = doubt + marks + own, 0
+                    articles += 1
+                    which = articles
+                inside, deep = True, deep or name == "article"
+            elif name in _OUTSIDE and not (name == "header" and inside):
+                hard = True
+            elif attributes and name not in ("html", "body") and _marked(attributes):
+                marks += 1
+            stack.append((name, hard, inside, doubt, which, marks, deep))
+        _, hard, article, doubt, which, marks, _ = stack[-1] if stack else none
+        outside = hard or marks > 0
         heading = bool(stack) and stack[-1][0] in _HEADINGS
         close()
     close()
     return out
 
 
+def _says(found: list[Block]) -> bool:
+    """Whether the page marks its article beyond doubt."""
+    return any(b.article and not b.outside and not b.doubt for b in found)
+
+
+def _settle(found: list[Block]) -> None:
+    """Doubtful articles, the least doubtful first, stay if the longest is longer than the good text so far; else they are boilerplate."""
+    for doubt in sorted({b.doubt for b in found if b.article and not b.outside and b.doubt}):
+        kept = sum(len(b.text) for b in found if b.label == GOOD and (not b.article or b.doubt < doubt))
+        sizes: dict[int, int] = {}
+        for b in found:
+            if b.article and not b.outside and b.doubt == doubt and b.label != BAD:
+                sizes[b.which] = sizes.get(b.which, 0) + len(b.text)
+        if max(sizes.values(), default=0) <= kept:
+            for b in found:
+                if b.article and b.doubt == doubt:
+                    b.outside, b.label = True, BAD
+
+
 def first_pass(found: list[Block]) -> None:
     """Label what a block's own words decide."""
     for b in found:
@@ -145,7 +194,8 @@ def first_pass(found: list[Block]) -> None:
         elif len(words) > SHORT_WORDS:
             stop = sum(w.strip(".,;:!?\"'()*#%&$").lower() in STOP_WORDS for w in words) / len(words)
             b.label = GOOD if stop >= STOP_HIGH else OPEN if stop >= STOP_LOW else BAD
-    if any(b.article for b in found):  # the page says where its text is
+    _settle(found)
+    if _says(found):  # the page says where its text is
         for b in found:
             if not b.article and b.label == GOOD:
                 b.label = BAD
@@ -166,7 +216,7 @@ def second_pass(found: list[Block]) -> None:
         return out
 
     before, after = nearest(range(len(found))), nearest(range(len(found) - 1, -1, -1))
-    marked = any(b.article for b in found)
+    marked = _says(found)
     for i, b in enumerate(found):
         if b.label == OPEN:
             (x, d), (y, e) = before[i], after[i]

@@ -278,3 +278,24 @@ def test_token_pieces_join():
     t = "the rain in Spain, " * 50
     assert "".join(token_counts.pieces(t, 40)) == t and len(token_counts.pieces(t, 40)) > 3
     assert quotes.LEAST_CHARS > 0
+
+
+STORY = "The story of the day is long enough to be the text of the page and it has many of the words in the list."
+REPLY = "I like the way that you wrote this one for all of us."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div><p>{STORY}</p></div><section id=comments><article class=comment><p>{REPLY}</p></article><article class=comment><p>{REPLY}</p></article></section>",
+        f"<div><p>{STORY}</p></div><div><article class='comment' id=comment-7><p>{REPLY}</p></article></div>",
+        f"<div><p>{STORY}</p></div><aside><article><p>{REPLY}</p></article></aside>",
+        f"<div class='has-sidebar with-comments'><nav>Home</nav><article><p>{STORY}</p></article><div class=comments><p>{REPLY}</p></div></div>",
+        f"<div class='sidebar-layout'><article class='post comments-open'><p>{STORY}</p></article><div class=related><article><p>{REPLY}</p></article></div></div>",
+        f"<main><div class=sidebar-right><article><p>{STORY}</p></article></div></main>",
+        f"<div class=page-with-sidebar><p>{STORY}</p></div>",
+        f"<article><p>{STORY}</p><section id=comments><article class=comment><p>{STORY} {STORY}</p></article></section></article>",
+    ],
+)
+def test_html_article_forms(page):
+    assert html_text.main_text(f"<html><body>{page}</body></html>") == STORY
