@@ -35,6 +35,7 @@ SHORT_WORDS, LINKS, ARTICLE_LINKS, STOP_LOW, STOP_HIGH = 10, 0.4, 0.9, 0.12, 0.2
 
 # Tags by what they do to blocks.
 _DROPPED = frozenset("script style noscript template svg math iframe object canvas head select option button textarea".split())
+_HEAD = frozenset("html head title meta link base style script noscript template".split())  # what a head holds; anything else ends it
 _RAW = frozenset("script style textarea title noscript iframe template".split())
 _OUTSIDE = frozenset("nav header footer aside form dialog menu".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -87,7 +88,8 @@ def blocks(page: str) -> list[Block]:
     articles = 0
     outside = article = heading = False
     doubt = which = 0
-    dropped = links = 0
+    links = 0
+    dropped: list[tuple[str, int]] = []  # open elements without text of the page, and how many block tags were open before each
     now = Block(False, False, False)
     at = 0
 
@@ -102,6 +104,8 @@ def blocks(page: str) -> list[Block]:
     while True:
         m = _TAG.search(page, at)
         raw = page[at : m.start() if m else len(page)]
+        if dropped and dropped[-1][0] == "head" and raw.strip():
+            dropped.pop()
         if raw and not dropped:
             text = html.unescape(raw) if "&" in raw else raw
             now.parts.append(text)
@@ -114,13 +118,27 @@ def blocks(page: str) -> list[Block]:
         if not name:
             continue
         closing, attributes = bool(m[1]), m[3] or ""
-        if name in _RAW and not closing and not attributes.endswith("/"):
+        alone = attributes.endswith("/")
+        if alone and name in _RAW and not closing:
+            # HTML knows no such raw element: if its end tag is what comes next of that name, it holds what is between
+            after = re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+            alone = not (after and after[1])
+        if dropped and dropped[-1][0] == "head" and not closing and name not in _HEAD:
+            dropped.pop()
+        if name in _RAW and not closing and not alone:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             now.parts.append(" ")
             continue
         if name in _DROPPED:
-            dropped = max(0, dropped + (-1 if closing else 1)) if name not in _VOID else dropped
+            # an end tag ends all inside it; an option, select or button ends with the next of its kind
+            if closing or name in ("select", "button") or (name == "option" and dropped and dropped[-1][0] == name):
+                for k in range(len(dropped) - 1, -1, -1):
+                    if dropped[k][0] == name:
+                        del dropped[k:]
+                        break
+            if not closing and not alone:
+                dropped.append((name, len(stack)))
             continue
         if name in _INLINE:
             if name == "a":
@@ -130,14 +148,16 @@ def blocks(page: str) -> list[Block]:
             if name in ("a", "br") or closing or not attributes or not _marked(attributes):
                 continue
         if name == "body":
-            dropped = 0
+            dropped.clear()
         links = 0
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
+                    while dropped and dropped[-1][1] > k:  # left open in what ends here
+                        dropped.pop()
                     break
-        elif name not in _VOID and not attributes.endswith("/"):
+        elif name not in _VOID and not alone:
             if name in ("p", "li", *_HEADINGS) and stack and stack[-1][0] in ("p", *_HEADINGS, *(("li",) if name == "li" else ())):
                 stack.pop()
             _, hard, inside, doubt, which, marks, deep = stack[-1] if stack else none

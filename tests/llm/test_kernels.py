@@ -299,3 +299,15 @@ REPLY = "I like the way that you wrote this one for all of us."
 )
 def test_html_article_forms(page):
     assert html_text.main_text(f"<html><body>{page}</body></html>") == STORY
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<select><option>A<option>B</select>", "<form><select><option>A<optgroup label=x><option>B</select></form>", "<svg viewBox='0 0 1 1'/>", "<script src='a.js'/>", "<canvas id=c />", "<button>A<button>B</button>",
+        "<div><button>Menu</div>", "<div><svg><g><path d='M0'></g></div>", "<script src=//cdn/x/>var a = 1;</script>", "<iframe src=http://x/></iframe>", "<svg><g/><text>no</text></svg>", "<object><object>no</object>no</object>",
+    ],
+)
+def test_html_text_after_what_is_dropped(before):
+    assert html_text.main_text(f"<html><body>{before}<p>{STORY}</p></body></html>") == STORY
+    assert html_text.main_text(f"<title>T</title><head><meta charset=utf-8><p>{STORY}</p>{before}<p>{STORY}</p>") == f"{STORY}\n{STORY}"
