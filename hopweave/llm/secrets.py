@@ -34,12 +34,15 @@ _WORDS = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
 _ASSIGN = re.compile(rf"""(?:{_WORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-#: A candidate: base64 or base64url text of some length, with line breaks as key files have them.
-_B64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/]{32,}(?:\r?\n[A-Za-z0-9+/]{2,})*={0,2}|[A-Za-z0-9_-]{32,}={0,2})")
+# A line break as key files have them (the next line may be indented), or as a string literal writes it.
+_BREAK = re.compile(r"\r?\n[\x20\t]*|(?:\\{1,2}r)?\\{1,2}n")
+#: A candidate: base64 or base64url text of some length that begins as a key's bytes do, with line breaks. Its bytes say where it ends.
+_B64 = re.compile(rf"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n))(?=M|AAAA|b3Bl)[A-Za-z0-9+/_-]{{32,}}(?:(?:{_BREAK.pattern})[A-Za-z0-9+/_-]+)*={{0,2}}")
+_HEADS = ("M", "AAAA", "b3Bl")
 _HEXKEY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){24,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){24,}(?![0-9A-Za-z])")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{12,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])")
-# Key types of the SSH binary format.
-_SSH = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+# Key types of the SSH binary format, and how many fields each has.
+_SSH = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3}
 _SSH_MAGIC = b"openssh-key-v1\0"
 
 
@@ -131,7 +134,7 @@ def is_ssh_key(data: bytes) -> bool:
 
 def unbase64(text: str) -> bytes | None:
     """The bytes of base64 or base64url text, line breaks taken out; None where it is neither, or the padding is wrong."""
-    text = re.sub(r"[\r\n]", "", text)
+    text = _BREAK.sub("", text)
     bare = text.rstrip("=")
     if len(bare) % 4 == 1 or (text != bare and len(text) % 4):
         return None
@@ -162,16 +165,96 @@ def _key_kind(data: bytes | None) -> str | None:
     return "der_key" if is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
 
 
+class _Reader:
+    """The bytes of a candidate as far as they are asked for, and where in the text they end."""
+
+    def __init__(self, text: str, begin: int, end: int):
+        self.text, self.begin, self.end, self.at = text, begin, end, begin
+        self.breaks = _BREAK.finditer(text, begin, end)
+        self.lines: list[tuple[int, int, int]] = []  # characters before the line, its begin and end
+        self.n = 0
+
+    def _upto(self, chars: int) -> bool:
+        """Whether there are so many characters."""
+        while self.n < chars and self.at < self.end:
+            m = next(self.breaks, None)
+            stop = m.start() if m else self.end
+            self.lines.append((self.n, self.at, stop))
+            self.n += stop - self.at
+            self.at = m.end() if m else self.end
+        return self.n >= chars
+
+    def read(self, size: int) -> bytes | None:
+        """The first `size` bytes."""
+        chars = -(-size * 4 // 3)
+        if not self._upto(chars):
+            return None
+        data = unbase64("".join(self.text[a : min(b, a + chars - n)] for n, a, b in self.lines if n < chars))
+        return None if data is None or len(data) < size else data[:size]
+
+    def stop(self, size: int) -> int:
+        """Where the first `size` bytes end in the text, padding included."""
+        chars = -(-size * 4 // 3)
+        n, a, _ = next(x for x in reversed(self.lines) if x[0] < chars)
+        at = a + chars - n
+        pad = -chars % 4
+        return at + pad if self.text.startswith("=" * pad, at) else at
+
+
+def _size(r: _Reader) -> int | None:
+    """How many bytes the key that begins here says it has."""
+    head = r.read(9)
+    if head is None:
+        return None
+    if head[0] == 0x30:
+        more = max(0, head[1] - 0x80)
+        if more > 4 or head[2 + more] not in (0x02, 0x30):  # a key begins with a number or a sequence
+            return None
+        return 2 + more + (int.from_bytes(head[2 : 2 + more]) if more else head[1])
+
+    def field(at: int) -> int | None:
+        """The end of a length-prefixed field."""
+        data = r.read(at + 4) if at is not None else None
+        return None if data is None else at + 4 + int.from_bytes(data[at:])
+
+    if head[:4] == _SSH_MAGIC[:4]:
+        at = len(_SSH_MAGIC)
+        for _ in range(3):
+            at = field(at)
+        count = r.read(at + 4) if at is not None else None
+        if count is None or int.from_bytes(count[at:]) > 64:
+            return None
+        n, at = int.from_bytes(count[at:]), at + 4
+    else:
+        at = field(0)
+        name = r.read(at) if at is not None and at <= 64 else None
+        n = _SSH.get(name[4:], 0) - 2 if name else -1
+    for _ in range(n + 1):  # the public keys and the private part, or the fields after the name
+        at = field(at)
+    return at if n >= 0 else None
+
+
 def confirmed(text: str) -> list[sp.Span]:
     """Candidates whose structure parses."""
     out: list[sp.Span] = []
     for m in _B64.finditer(text):
-        # a following line of words may have been taken in: whole first, then without its last line, then its first line
-        lines = [m.start() + k.start() for k in re.finditer(r"\r?\n", m[0])]
-        for end in dict.fromkeys((m.end(), *lines[-1:], *lines[:1])):
-            if kind := _key_kind(unbase64(text[m.start() : end])):
-                out.append((kind, m.start(), end))
-                break
+        at, stop = m.span()
+        breaks = [k.span() for k in _BREAK.finditer(text, at, stop)]
+        for begin in (at, *(b for _, b in breaks)):  # a key may begin at any of its lines
+            if begin < at or not text.startswith(_HEADS, begin):
+                continue
+            r = _Reader(text, begin, stop)
+            size = _size(r)
+            if size and size <= stop - begin and (kind := _key_kind(r.read(size))):
+                at = r.stop(size)
+                out.append((kind, begin, at))
+            elif begin == m.start():
+                # its bytes don't say: whole first, then without its last line, then its first line
+                for end in dict.fromkeys((stop, *(a for a, _ in breaks[-1:]), *(a for a, _ in breaks[:1]))):
+                    if kind := _key_kind(unbase64(text[begin:end])):
+                        out.append((kind, begin, end))
+                        at = end
+                        break
     for m in _HEXKEY.finditer(text):
         if kind := _key_kind(bytes.fromhex(m[0])):
             out.append((kind, *m.span()))

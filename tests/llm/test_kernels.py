@@ -311,3 +311,21 @@ def test_html_article_forms(page):
 def test_html_text_after_what_is_dropped(before):
     assert html_text.main_text(f"<html><body>{before}<p>{STORY}</p></body></html>") == STORY
     assert html_text.main_text(f"<title>T</title><head><meta charset=utf-8><p>{STORY}</p>{before}<p>{STORY}</p>") == f"{STORY}\n{STORY}"
+
+
+def test_keys_in_common_places():
+    rsa = tlv(0x30, tlv(2, b"\0") + b"".join(tlv(2, bytes([1]) + bytes(range(k))) for k in (128, 3, 128, 64, 64, 64, 64, 64)))
+    late = tlv(0x30, tlv(2, b"\0") + b"".join(tlv(2, bytes([1]) + bytes(30) + b"\xff" * (k - 30)) for k in (128, 64, 128, 64, 64, 64, 64, 64)))
+    field = lambda x: struct.pack(">I", len(x)) + x
+    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + struct.pack(">I", 1) + field(bytes(51)) + field(bytes(136))
+    public = field(b"ssh-ed25519") + field(bytes(range(32)))
+    for data, kind in ((rsa, "der_key"), (late, "der_key"), (ssh, "ssh_key"), (public, "ssh_key")):
+        k64, url = base64.b64encode(data).decode(), base64.urlsafe_b64encode(data).decode()
+        wrap = lambda b, k=k64: b.join(k[i : i + 64] for i in range(0, len(k), 64))
+        for text, key in (
+            (f"PRIVATE_KEY={k64}", k64), (f"key: {url} x", url), (f"key={url.rstrip('=')}.", url.rstrip("=")),
+            ('{"private_key": "-----BEGIN PRIVATE KEY-----\\n' + wrap("\\n") + '\\n-----END PRIVATE KEY-----\\n"}', wrap("\\n")),
+            (wrap("\n") + "\nand\nthen\nwords\nfollow", wrap("\n")), (wrap("\r\n") + "\r\n-----END", wrap("\r\n")), ("k: |\n  " + wrap("\n  ") + "\n  other\n  words", wrap("\n  ")),
+            ("f" * 64 + "\n" + wrap("\n"), wrap("\n")),
+        ):
+            assert [(k, text[a:b]) for k, a, b in secrets.confirmed(text)] == [(kind, key)], text
