@@ -29,8 +29,8 @@ from .runtime import stored, table
 
 #: Turns of a conversation that are ranked together.
 BLOCK_TURNS = 4096
-#: Shortest normalised passage that links (an "ok" quotes nobody in particular).
-LEAST_CHARS = 12
+#: Shortest normalised passage that links: any that isn't blank.
+LEAST_CHARS = 1
 
 _QUOTE = r"^[\x20\t]*(?:>[\x20\t]*)+"
 # What a line that announces a quotation ends with.
@@ -69,7 +69,7 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 
 def _units(passage: Column) -> Column:
-    """A passage as a whole and its lines, normalised, long enough to link, each once."""
+    """A passage as a whole and its lines, normalised, those that aren't blank, each once."""
     whole = F.array(_normal(passage))
     each = F.when(F.locate("\n", passage) > 0, F.transform(F.split(passage, "\n"), _normal)).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.filter(F.concat(whole, each), lambda x: F.length(x) >= LEAST_CHARS))

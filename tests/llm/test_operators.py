@@ -268,3 +268,9 @@ def test_nearest_looks_at_a_share_of_any_table(spark, monkeypatch):
     s[np.arange(60), np.arange(0, 3000, 50)] = -9
     want = {(50 * q, int(i)) for q in range(60) for i in np.argsort(-s[q])[: hash_forest.NEAREST]}
     assert len(got & want) >= 0.9 * len(want)
+
+
+def test_short_quotes_link(spark):
+    rows = [(1, 0, "u", "Shall we go?"), (1, 1, "a", "Yes."), (1, 2, "u", "Or by train"), (1, 3, "a", "> Yes.\nGood then"), (1, 4, "u", "是的"), (1, 5, "a", "later"), (1, 6, "u", "> 是的\nok"), (1, 7, "u", ">\n> \nok")]
+    got = {r["turn"]: r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(got[t]["reply_to"], got[t]["n_quotes"], got[t]["n_linked"], got[t]["text"]) for t in (3, 6, 7)] == [(1, 1, 1, "Good then"), (4, 1, 1, "ok"), (6, 0, 0, "ok")]
