@@ -183,7 +183,7 @@ class Rollup:
 
 
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents go in with their n_chars as a provisional count; counting then revises every row, and the first batch is sent twice."""
+    """All documents go in with their n_chars as a provisional count; counting then revises every row, and the first batch is sent twice; rows without a text are deleted and put back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     exact = stored(counted(docs), "counts")
     provisional = exact.withColumn("n_tokens", F.floor(F.col("n_chars") / 4).cast("long"))
@@ -192,7 +192,8 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("revise-1", revisions(provisional, exact))
     rollup.commit("insert-1", inserts(provisional))
     rollup.compact()
-    empty = exact.where("n_chars = 0")  # documents without a text don't stay
+    empty = exact.where("n_chars = 0")
     rollup.commit("delete-1", deletes(empty))
+    rollup.commit("insert-2", inserts(empty))  # the totals cover all documents
     dropped(exact)
     return rollup.totals()

@@ -274,3 +274,9 @@ def test_short_quotes_link(spark):
     rows = [(1, 0, "u", "Shall we go?"), (1, 1, "a", "Yes."), (1, 2, "u", "Or by train"), (1, 3, "a", "> Yes.\nGood then"), (1, 4, "u", "是的"), (1, 5, "a", "later"), (1, 6, "u", "> 是的\nok"), (1, 7, "u", ">\n> \nok")]
     got = {r["turn"]: r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert [(got[t]["reply_to"], got[t]["n_quotes"], got[t]["n_linked"], got[t]["text"]) for t in (3, 6, 7)] == [(1, 1, 1, "Good then"), (4, 1, 1, "ok"), (6, 0, 0, "ok")]
+
+
+def test_rollup_covers_all_documents(spark, tmp_path):
+    docs(spark, [None, "", "the rain"]).withColumn("source", near_dup.F.when(near_dup.F.col("doc_id") == 0, "empty").otherwise("s")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["source"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in token_counts.op10_token_rollup(spark, str(tmp_path)).collect()}
+    assert got["s", token_counts.WORDS] == (2, 2) and got["empty", token_counts.WORDS] == got["empty", token_counts.BPE] == (1, 0)
