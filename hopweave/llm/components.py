@@ -3,6 +3,11 @@
 Every step is two shuffles over the remaining edges, and ends in a stored table;
 the number of steps grows with the logarithm of the longest chain. No edge or
 label comes to the driver, only each step's row count and checksum.
+
+A hub's edges never meet in one task: its least neighbour is aggregated on the
+map side and stored, and comes back to the edges as a broadcast while it is
+counted as small, else by a join of two stored tables, whose large partitions
+AQE splits.
 """
 
 from __future__ import annotations
@@ -10,20 +15,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import dropped, stored
+from .runtime import dropped, small, stored
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _large(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
+    return both.where("b > a").join(small(least), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), least
 
 
-def _small(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+def _small(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For edges with a > b."""
+    least = stored(e.groupBy("a").agg(F.min("b").alias("m")), "least")
     own = least.select("a", F.col("m").alias("b"))
-    return down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(own).distinct()
+    return e.join(small(least), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(own).distinct(), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -39,5 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark["n"]:
             return now.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("label"))).distinct()
         seen, was = mark, now
-        now = stored(_small(_large(now)), "cc")
-        dropped(was)
+        large, one = _large(now)
+        large = stored(large, "large")
+        now, two = _small(large)
+        now = stored(now, "cc")
+        dropped(was, one, two, large)

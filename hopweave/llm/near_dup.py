@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .components import components
-from .runtime import dropped, ship, small, stored, table
+from .runtime import dropped, mapped, small, stored, table, tidy
 
 CHUNKS, WIDTH, ERRORS, BITS = 16, 6, 1, 16
 HASHES = CHUNKS * WIDTH
@@ -101,6 +101,23 @@ def _index(batches):
             yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(b.column("id").to_numpy(), k.shape[1]))], names=["key", "id"])
 
 
+def _tally(batches):
+    """Buckets of every 2000 rows, counted before they are shuffled: key, least id, and for two members or more their count and a checksum."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2000):
+            b = whole.slice(at, 2000)
+            k = keys(_matrix(b.column("sig")))
+            ids = np.repeat(b.column("id").to_numpy(), k.shape[1])
+            k = k.ravel().view(np.int64)
+            order = np.argsort(k, kind="stable")
+            k, ids = k[order], ids[order]
+            first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            n = np.diff(np.append(first, len(k)))
+            one = n == 1
+            check = np.bitwise_xor.reduceat(textkit.mix(ids.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(1)), first).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(np.minimum.reduceat(ids, first)), pa.array(n, mask=one), pa.array(check, mask=one)], names=["key", "lo", "c", "x"])
+
+
 def _full(batches):
     for whole in batches:
         for b in textkit.slices(whole, "text"):
@@ -205,7 +222,7 @@ def _block_pairs(own, blocks):
 
 
 def _streamed(rows: DataFrame, keys: list[str], run) -> DataFrame:
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), "a long, b long")
 
 
 def _within(sets: DataFrame, labels: DataFrame, pairs: bool) -> DataFrame:
@@ -217,55 +234,72 @@ def _within(sets: DataFrame, labels: DataFrame, pairs: bool) -> DataFrame:
     return _streamed(rows, ["g", "i", "j"], _groups)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept), a row for each row given.
-
-    Null and blank texts have an empty set, linked with nothing. Fewer than five
-    words make one shingle of the whole sequence. Rows that repeat a doc_id are
-    one document: their links are on the id. A null doc_id is no document: its
-    row has a null component and is kept. Other columns are not read.
-    """
-    spark = docs.sparkSession
-    ship(spark)
+def _sought(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The answer, and the stored tables that it reads."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stored(docs.mapInArrow(_sign, "doc_id long, n_shingles long, d1 long, d2 long, sig binary"), "signed")
+    signed = stored(mapped(docs, _sign, "doc_id long, n_shingles long, d1 long, d2 long, sig binary"), "signed")
     real = signed.where("doc_id is not null and n_shingles > 0")
-    classes = stored(real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
+    classes = stored(real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
 
-    every = classes.select("id", "sig").mapInArrow(_index, "key long, id long")
-    buckets = every.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("lo")).where("c > 1")
+    signatures = classes.select("id", "sig")
+    counts = mapped(signatures, _tally, "key long, lo long, c long, x long").repartition("key")
+    buckets = counts.groupBy("key").agg(F.sum(F.coalesce("c", F.lit(1))).alias("c"), F.bit_xor(F.coalesce("x", F.xxhash64("lo"))).alias("x"), F.min("lo").alias("lo")).where("c > 1")
     buckets = stored(buckets.groupBy("c", "x", "lo").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / BUCKET).cast("int").alias("blocks")), "buckets")
-    members = stored(every.join(small(buckets), "key"), "members")
+    members = stored(mapped(signatures, _index, "key long, id long").join(small(buckets), "key"), "members")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = members.select("id", "key", F.explode(_block_pairs(own, F.col("blocks"))).alias("at")).join(classes.select("id", "sig"), "id").select("key", "at.i", "at.j", "id", "sig")
+    rows = members.select("id", "key", F.explode(_block_pairs(own, F.col("blocks"))).alias("at")).join(signatures, "id").select("key", "at.i", "at.j", "id", "sig")
     near = stored(_streamed(rows, ["key", "i", "j"], _buckets), "near")
 
     # rows that repeat an id with another set hold their classes together
-    twice = real.join(classes.drop("sig"), ["n_shingles", "d1", "d2"]).where("doc_id <> id").join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    links = stored(twice.select(F.col("doc_id").alias("a"), F.col("id").alias("b")), "links")
-    groups = stored(components(near.unionByName(links)), "groups")
-    sizes = groups.join(classes.select("id", "n_shingles"), "id").groupBy("label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    groups = stored(groups.join(sizes, "label").select("id", F.col("label").alias("g"), F.ceil(F.greatest(F.col("n") / ROWS, F.col("s") / SHINGLES)).cast("int").alias("blocks")), "groups")
+    digest = F.struct("n_shingles", "d1", "d2")
+    again = stored(real.groupBy("doc_id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").select("doc_id"), "again")
+    twice = real.select("doc_id", "n_shingles", "d1", "d2").join(small(again), "doc_id", "left_semi").distinct().join(classes.select("n_shingles", "d1", "d2", "id"), ["n_shingles", "d1", "d2"])
+    links = stored(twice.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b"), "links")
+    joined = components(near.unionByName(links))
+    sizes = joined.join(classes.select("id", "n_shingles"), "id").groupBy("label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    sizes = stored(sizes.select("label", F.ceil(F.greatest(F.col("n") / ROWS, F.col("s") / SHINGLES)).cast("int").alias("blocks")), "sizes")
+    groups = stored(joined.join(small(sizes), "label").select("id", F.col("label").alias("g"), "blocks"), "groups")
     texts = docs.withColumnRenamed("doc_id", "id").join(small(groups), "id")
-    sets = stored(texts.select("g", "blocks", "id", "text").mapInArrow(_full, "g long, blocks int, id long, shingles binary"), "sets")
-    inside = stored(_within(sets, links.select(F.col("a").alias("id"), F.col("b").alias("label")).limit(0), False), "links").unionByName(links)
-    labels = stored(components(inside), "labels")
+    sets = stored(mapped(texts.select("g", "blocks", "id", "text"), _full, "g long, blocks int, id long, shingles binary"), "sets")
+    inside = stored(_within(sets, links.select(F.col("a").alias("id"), F.col("b").alias("label")).limit(0), False), "inside").unionByName(links)
+    labels = components(inside)
     if groups.where("blocks > 1").limit(1).count():
-        between = stored(_within(sets, labels, True), "links")
-        labels = stored(components(inside.unionByName(between)), "labels")
-    dropped(members, near, sets)
-
-    of = stored(classes.select("n_shingles", "d1", "d2", "id").join(labels, "id", "left").select("n_shingles", "d1", "d2", F.coalesce("label", "id").alias("component")), "of")
-    out = signed.drop("sig").join(of, ["n_shingles", "d1", "d2"], "left")
+        between = stored(_within(sets, labels, True), "between")
+        labels = components(inside.unionByName(between))
+
+    # empty sets and sets of one unlinked document say nothing, so neither they nor the empty texts take part in the join
+    of = classes.select("n_shingles", "d1", "d2", "id", "copies").join(labels, "id", "left").where("label is not null or copies > 1")
+    of = stored(of.select("n_shingles", "d1", "d2", F.coalesce("label", "id").alias("component")), "of")
+    dropped(buckets, members, near, again, links, joined, sizes, groups, sets, inside, labels, classes)
+    every = signed.select("doc_id", "n_shingles", "d1", "d2")
+    out = every.where("n_shingles > 0").join(small(of), ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", "component")
+    out = out.unionByName(every.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), [signed, of]
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept), a row for each row given.
+
+    Null and blank texts have an empty set, linked with nothing. Fewer than five
+    words make one shingle of the whole sequence. Rows that repeat a doc_id are
+    one document: their links are on the id. A null doc_id is no document: its
+    row has a null component and is kept. Other columns are not read. An empty
+    table gives no rows. Joins on a text's digest and on an id are of stored
+    tables, broadcast while counted as small and else split by AQE where a text
+    holds many rows.
+    """
+    return _sought(docs)[0]
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows, all columns as they are, of one document (the smallest id) of each group; rows that repeat an id leave one, rows without an id stay."""
-    found = stored(near_duplicates(docs), "groups")
+    found, read = _sought(docs)
+    found = stored(found, "found")
+    dropped(*read)
     gone = stored(found.where("not kept").select("doc_id").distinct(), "gone")
     twice = stored(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    dropped(found)
     left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
     if not twice.limit(1).count():
         return left

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -10,6 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,9 @@ BROADCAST_ROWS = 500_000
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package once an application, wherever the driver found it."""
+    """Give the executors this package once an application, wherever the driver found it, and hold Arrow batches to BATCH_ROWS."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -34,12 +38,39 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+#: Rows of an Arrow batch between the JVM and a worker; kernels slice a batch by bytes, this bounds what lies in buffers on either side.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def tidy(run):
+    """The same function over batches, which gives memory back to the system when a task ends: workers outlive tasks."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return whole
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with this package at hand, in small batches, and memory given back at each task's end."""
+    ship(df.sparkSession)
+    return df.mapInArrow(tidy(run), schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests) a temporary one becomes it."""
-    at = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not at:
-        at = spark.sparkContext.getCheckpointDir() or ""
+    """The folder of spark.checkpoint.dir. Where it is unset a local session (tests) gets a temporary one; a cluster must name it."""
+    at = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="hopweave-shared-")
         atexit.register(shutil.rmtree, at.removeprefix("file://"), True)
         spark.sparkContext.setCheckpointDir(at)
