@@ -1,10 +1,11 @@
 """Streaming SentencePiece encoding and decoding by Viterbi with bounded look-back (operator 8).
 
-The encoder walks over the characters once. It keeps the best piece ending at
-each of the last `longest piece` positions with a pointer back to where that
-piece begins. Whenever all open positions' paths run through one boundary, the
-ids before it are committed and forgotten, so memory is bounded by the longest
-piece and the longest stretch that is really undecided, not by the text.
+Every text goes through `Codec.stream`, which walks over its characters once. It
+keeps the best piece that ends at each boundary of a window, and with it where
+that piece begins. Whenever the paths of all boundaries that a later piece can
+begin at run through one boundary, the ids before it are committed and
+forgotten, so memory is bounded by the longest piece and the longest stretch
+that is really undecided, not by the text.
 
 Which piece may end at a position depends on the model's kind:
 - unigram: the one with the largest sum of scores (ties: the longer piece);
@@ -15,14 +16,15 @@ Which piece may end at a position depends on the model's kind:
   text that has not been seen to its end.
 
 A boundary that no piece of the vocabulary can cross (before a space mark, after
-another character) is a convergence for every text. Stretches between such
-boundaries are remembered in a bounded table, as words repeat.
+another character) is a convergence for every text, so the stream may be started
+anew there. In front of it stands a bounded table of the short stretches between
+such boundaries that a task has met, as words repeat; it only saves time.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -32,13 +34,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
-from .runtime import ship, table
+from .runtime import mapped, table
 
 #: The model's path is a parameter; the file is read by the driver and its pieces go to the executors.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-REMEMBERED = 400_000
+#: Stretches and pairs of pieces that a task's tables hold, and the longest stretch they hold.
+REMEMBERED = 200_000
 REMEMBERED_CHARS = 48
+#: Characters that a stream takes at a time.
+CHUNK = 512
 BPE, UNIGRAM = "bpe", "unigram"
 
 
@@ -105,6 +110,7 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.longest = vocabulary.longest
+        self.widest = 0
         self.pair: dict[tuple[str, str], bool] = {}
         self.memory: dict[str, bytes] = {}  # of the last stretches, and of those before them
         self.older: dict[str, bytes] = {}
@@ -151,61 +157,67 @@ class Codec:
             else:  # of equal merges the left one comes first
                 limit, b = j + 1, halves[b][0]
 
-    def stream(self, characters: Iterator[str]) -> Iterator[str]:
-        """Pieces in order; each is given out as soon as no later character can change it."""
-        ids, scores, longest, bpe = self.v.ids, self.v.scores, self.longest, self.v.kind == BPE
-        window = ""  # characters from `first` on
-        first = 0  # everything before is committed
-        last: list[tuple[int, str, float]] = [(-1, "", 0.0)]  # for each boundary from `first`: where its piece begins, the piece, the score
-        n = 0
-        for c in characters:
-            window += c
-            n += 1
-            best: tuple[int, str, float] | None = None
-            for size in range(min(longest, n - first), 0, -1):
-                piece = window[n - first - size :]
-                known = piece in ids
-                if not known and size > 1:
-                    continue
-                begin = n - size
-                before = last[begin - first]
-                if before[0] == -2:
-                    continue
-                if bpe:
-                    if not before[1] or self.neighbours(before[1], piece):
-                        best = (begin, piece, 0.0)
-                        break
-                else:
-                    s = before[2] + (scores[piece] if known else self.floor)
-                    if best is None or s > best[2]:
-                        best = (begin, piece, s)
-            last.append(best or (-2, "", 0.0))
-            if n - first >= 2 * longest and (n - first) % longest == 0:
-                # boundaries that a later piece can begin at: do their paths meet?
-                paths = None
-                for i in range(n - longest + 1, n + 1):
-                    if last[i - first][0] == -2:
-                        continue
-                    at, own = i, set()
-                    while at > first:
-                        own.add(at)
-                        at = last[at - first][0]
-                    paths = own if paths is None else paths & own
-                if paths:
-                    to = max(paths)
-                    yield from self._path(last, first, to)
-                    kept = last[to - first]
-                    last = [(-1, kept[1], kept[2]), *last[to - first + 1 :]]
-                    window, first = window[to - first :], to
-        yield from self._path(last, first, n)
+    def stream(self, chunks: Iterable[str]) -> Iterator[str]:
+        """Pieces in order; each is given out as soon as no later character can change it. `widest` keeps the largest window."""
+        ids, scores, longest, sizes, pair = self.v.ids, self.v.scores, self.longest, self.sizes, self.pair
+        bpe = self.v.kind == BPE
+        window, n, due = "", 0, 2 * longest  # what isn't committed, how much of it is read, and when to look for a convergence
+        last: list[str | None] = [""]  # the piece that ends at each boundary of the window (of its begin: what was committed before); None where none can
+        sums = [0.0]  # unigram: the best sum up to there
+        for chunk in chunks:
+            window += chunk
+            while n < len(window):
+                for n in range(n + 1, min(len(window), due) + 1):
+                    best, top = None, 0.0
+                    if bpe:
+                        for size in sizes.get(window[n - 2 : n] if n > 1 else window[:1], (1,)):
+                            if size > n or (before := last[n - size]) is None:
+                                continue
+                            piece = window[n - size : n]
+                            if size > 1 and piece not in ids:
+                                continue
+                            if not before or (ok := pair.get((before, piece))) or (ok is None and self.neighbours(before, piece)):
+                                best = piece
+                                break
+                    else:
+                        for size in range(min(longest, n), 0, -1):
+                            piece = window[n - size : n]
+                            if last[n - size] is None or (size > 1 and piece not in ids):
+                                continue
+                            s = sums[n - size] + scores.get(piece, self.floor)
+                            if best is None or s > top:
+                                best, top = piece, s
+                        sums.append(top)
+                    last.append(best)
+                if n >= due:
+                    self.widest = max(self.widest, n)
+                    if to := self._meeting(last, n, longest):
+                        yield from self._path(last, to)
+                        last, window, n = last[to:], window[to:], n - to
+                        sums = sums[to:]
+                    due = max(2 * longest, n + longest)
+        self.widest = max(self.widest, n)
+        yield from self._path(last, n)
+
+    @staticmethod
+    def _meeting(last: list[str | None], n: int, longest: int) -> int:
+        """The last boundary that the paths of all boundaries a later piece can begin at run through; 0 if there is none."""
+        paths: set[int] | None = None
+        for at in range(n - longest + 1, n + 1):
+            if last[at] is not None:
+                own = set()
+                while at:
+                    own.add(at)
+                    at -= len(last[at])
+                paths = own if paths is None else paths & own
+        return max(paths, default=0) if paths else 0
 
     @staticmethod
-    def _path(last, first: int, to: int) -> list[str]:
+    def _path(last: list[str | None], to: int) -> list[str]:
         out = []
-        while to > first:
-            begin, piece, _ = last[to - first]
-            out.append(piece)
-            to = begin
+        while to:
+            out.append(last[to])
+            to -= len(last[to])
         return out[::-1]
 
     def ids_of(self, piece: str) -> list[int]:
@@ -215,28 +227,26 @@ class Codec:
         raw = piece.encode("utf-8", "surrogatepass")
         return [self.v.bytes_[b] for b in raw] if self.v.bytes_ else [self.v.unknown]
 
-    def short(self, text: str) -> list[str]:
-        """The same lattice over a short stretch at once: nothing in it is committed before its end."""
-        pair, ids, sizes = self.pair, self.v.ids, self.sizes
-        last: list = [""] + [None] * len(text)
-        for end in range(1, len(text) + 1):
-            for size in sizes.get(text[end - 2 : end] if end > 1 else text[:1], (1,)):
-                if size > end or (before := last[end - size]) is None:
-                    continue
-                piece = text[end - size : end]
-                if size > 1 and piece not in ids:
-                    continue
-                if not before or (ok := pair.get((before, piece))) or (ok is None and self.neighbours(before, piece)):
-                    last[end] = piece
-                    break
-        out, end = [], len(text)
-        while end:
-            out.append(last[end])
-            end -= len(last[end])
-        return out[::-1]
+    def _of(self, stretch: str) -> bytes:
+        """The ids of a stretch whose ends no piece crosses: from the table, or streamed in parts."""
+        known = self.older.get(stretch)
+        if known is None:
+            known = b"".join([self.memory.get(p) or self._part(p) for p in self._parts(stretch)])
+        return self._kept(stretch, known)
+
+    def _part(self, part: str) -> bytes:
+        chunks = (part,) if len(part) <= CHUNK else (part[i : i + CHUNK] for i in range(0, len(part), CHUNK))
+        return self._kept(part, self.older.get(part) or b"".join([self.packed.get(p) or self._packed(p) for p in self.stream(chunks)]))
+
+    def _kept(self, stretch: str, known: bytes) -> bytes:
+        if len(stretch) <= REMEMBERED_CHARS:
+            if len(self.memory) >= REMEMBERED:
+                self.older, self.memory = self.memory, {}
+            self.memory[stretch] = known
+        return known
 
-    def _split(self, stretch: str) -> list[str]:
-        """The stretch cut wherever no piece holds the two characters side by side: paths meet there in every text."""
+    def _parts(self, stretch: str) -> list[str]:
+        """The stretch cut wherever no piece holds the two characters side by side."""
         inside, out, at = self.inside, [], 0
         for i in range(1, len(stretch)):
             if stretch[i - 1 : i + 1] not in inside:
@@ -245,21 +255,6 @@ class Codec:
         out.append(stretch[at:])
         return out
 
-    def _of(self, stretch: str, whole: bool = False) -> bytes:
-        known = self.older.get(stretch)
-        if known is None and not whole and len(parts := self._split(stretch)) > 1:
-            known = b"".join([self.memory.get(p) or self._of(p, True) for p in parts])
-            if len(stretch) > 12:
-                return known
-        if known is None:
-            parts = self.short(stretch) if self.v.kind == BPE and len(stretch) <= REMEMBERED_CHARS else self.stream(iter(stretch))
-            known = b"".join([self.packed.get(p) or self._packed(p) for p in parts])
-        if len(stretch) <= REMEMBERED_CHARS:
-            if len(self.memory) >= REMEMBERED:
-                self.older, self.memory = self.memory, {}
-            self.memory[stretch] = known
-        return known
-
     def _packed(self, piece: str) -> bytes:
         return np.array(self.ids_of(piece), dtype="<i4").tobytes()
 
@@ -294,21 +289,9 @@ class Codec:
         return text[1:] if self.v.prefix and text[:1] == " " else text
 
 
-_codecs: dict[int, Codec] = {}
-
-
-def _codec(v: Vocabulary) -> Codec:
-    """One codec for each worker process, so that its memory outlives a task."""
-    key = hash((len(v.ids), v.kind, v.prefix, next(iter(v.ids), ""), sum(v.ids.values())))
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(v)
-    return _codecs[key]
-
-
 def _encoder(v: Vocabulary, digests: bool):
     def run(batches):
-        codec = _codec(v)
+        codec = Codec(v)  # a task's own, gone with it
         for whole in batches:
             for b in textkit.slices(whole, "text"):
                 texts = [t or "" for t in b.column("text").to_pylist()]
@@ -328,16 +311,19 @@ def _encoder(v: Vocabulary, digests: bool):
 def encoded(docs: DataFrame, model: str = MODEL, digests: bool = False) -> DataFrame:
     """(doc_id, text, ...) -> a row each: doc_id, n_tokens, ids (or their SHA-256 as little-endian 32-bit), and whether decoding gives the text back.
 
-    Null and empty texts have no tokens. Repeated rows are kept as rows. One pass, no shuffle.
+    Null and empty texts have no tokens; a null doc_id stays null; an empty table
+    gives no rows. Repeated rows are kept as rows, other columns aren't read. A
+    very long text is encoded whole, its lattice in a bounded window. One pass,
+    no shuffle.
     """
-    ship(docs.sparkSession)
     kind = "ids_sha256 string" if digests else "ids array<int>"
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_encoder(load(model), digests), f"doc_id long, n_tokens long, {kind}, round_trip boolean")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return mapped(docs, _encoder(load(model), digests), f"doc_id long, n_tokens long, {kind}, round_trip boolean")
 
 
 def _decoder(v: Vocabulary):
     def run(batches):
-        codec = _codec(v)
+        codec = Codec(v)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([codec.decode(x or []) for x in b.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
 
@@ -346,8 +332,8 @@ def _decoder(v: Vocabulary):
 
 def decoded(tokens: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, ids, ...) -> doc_id, text; null ids are an empty text."""
-    ship(tokens.sparkSession)
-    return tokens.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(_decoder(load(model)), "doc_id long, text string")
+    tokens = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
+    return mapped(tokens, _decoder(load(model)), "doc_id long, text string")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
