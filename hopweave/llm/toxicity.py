@@ -5,9 +5,13 @@ words and word beginnings; the document's is the noisy-or 1 - prod(1 - p). Only
 documents carry labels: the noisy-or likelihood passes the blame on to the
 sentences that explain it, so the model can point at them afterwards.
 
-Training uses a bounded sample of labelled rows (SAMPLE documents, chosen by a
-hash of the id); features are cut out on the executors and only they come to
-the driver. Scoring is one pass over all whole texts, without a shuffle.
+Training uses a bounded sample of labelled rows (SAMPLE documents and
+SAMPLE_BYTES of features, taken in the order of a hash of the id); features are
+cut out on the executors and only they come to the driver. A noisy-or fitted so
+is too timid on documents it hasn't seen, so its log-odds are put on the scale
+of observed shares: two models, each of one half of the sample, score the other
+half, and a logistic line through those scores is what the final score goes
+through. Scoring is one pass over all whole texts, without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,14 +21,16 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit
-from .runtime import ship, table
+from .runtime import dropped, mapped, stored, table
 
-#: Most labelled documents that training reads.
-SAMPLE = 8_000
+#: Most labelled documents that training reads, and most bytes of their features.
+SAMPLE, SAMPLE_BYTES = 8_000, 96 << 20
+#: Least rows of either class for which scores are calibrated.
+CALIBRATED = 20
 FEATURE_BITS = 20
 #: Lengths in bytes of the word beginnings that are features beside the whole word.
 PREFIXES = (4, 5, 6, 7)
@@ -46,6 +52,8 @@ _PREFIX_SALT = textkit.mix(np.arange(1, len(PREFIXES) + 1, dtype=_U))
 class Model:
     weights: np.ndarray  # one for each hashed feature
     bias: float
+    slope: float = 1.0  # of the document's log-odds, and what is added to them
+    shift: float = 0.0
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -101,7 +109,7 @@ def _cut(batches):
                 pairs = np.unique(pairs[x[i:j] >= 0])  # a feature counts once a sentence
                 held.append((pairs & ((1 << FEATURE_BITS) - 1)).astype(np.int32).tobytes())
                 where.append((pairs >> FEATURE_BITS).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(held, pa.binary()), pa.array(where, pa.binary()), pa.array(np.diff(bounds).astype(np.int32))], names=["toxic", "x", "sentence", "n"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in b.schema.names if k != "text"), pa.array(held, pa.binary()), pa.array(where, pa.binary()), pa.array(np.diff(bounds).astype(np.int32))], names=[*(k for k in b.schema.names if k != "text"), "x", "sentence", "n"])
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -109,7 +117,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list) -> Model:
-    """Fit by gradient steps (Adam) on the noisy-or likelihood; `rows` is used up. Without rows of both classes the score is the share of toxic rows."""
+    """Fit by gradient steps (Adam) on the noisy-or likelihood. Without rows of both classes the score is the share of toxic rows."""
     y = np.array([r["toxic"] for r in rows], dtype=float)
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 0.999))
@@ -130,7 +138,6 @@ def fit(rows: list) -> Model:
             c = small[np.frombuffer(r["x"], dtype=np.int32)]
             cols.append(c[c >= 0])
             where.append((np.frombuffer(r["sentence"], dtype=np.int32)[c >= 0] + base[k]).astype(np.int32))
-            rows[at + k] = None  # its bytes aren't needed any more
         parts.append((np.concatenate(cols), np.concatenate(where), np.repeat(np.arange(len(part)), counts).astype(np.int32), y[at : at + _PART]))
     theta, m, v = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
     theta[-1] = np.log(y.mean() * len(y) / sentences)
@@ -149,23 +156,66 @@ def fit(rows: list) -> Model:
     return Model(weights, float(theta[-1]))
 
 
+def log_odds(quiet: np.ndarray) -> np.ndarray:
+    """Of a noisy-or, from the log of the chance that no sentence is toxic."""
+    return np.log(np.maximum(-np.expm1(quiet), 1e-12)) - quiet
+
+
+def _quiet(rows: list, model: Model) -> np.ndarray:
+    out = np.zeros(len(rows))
+    for k, r in enumerate(rows):
+        w = model.weights[np.frombuffer(r["x"], dtype=np.int32)]
+        z = np.bincount(np.frombuffer(r["sentence"], dtype=np.int32), weights=w, minlength=r["n"]) + model.bias
+        out[k] = np.log1p(-np.minimum(sigmoid(z), 1 - 1e-12)).sum()
+    return out
+
+
+def calibrated(rows: list) -> Model:
+    """The model of all rows, its log-odds on the line that fits those of two half models on the halves they haven't seen."""
+    y = np.array([r["toxic"] for r in rows], dtype=float)
+    model = fit(rows)
+    if min(y.sum(), len(y) - y.sum()) < CALIBRATED:
+        return model
+    x = np.zeros(len(rows))
+    for k in (0, 1):
+        x[k::2] = np.clip(log_odds(_quiet(rows[k::2], fit(rows[1 - k :: 2]))), -20, 20)
+    theta, ones = np.array([1.0, 0.0]), np.stack([x, np.ones(len(x))], axis=1)
+    for _ in range(50):  # Newton steps, held by a light pull to the uncalibrated line
+        p = sigmoid(ones @ theta)
+        slope = ones.T @ (p - y) + (theta - [1.0, 0.0])
+        curve = (ones * (p * (1 - p))[:, None]).T @ ones + np.eye(2)
+        theta = theta - np.linalg.solve(curve, slope)
+    if theta[0] > 0:
+        model.slope, model.shift = float(theta[0]), float(theta[1])
+    return model
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that training never sees: crc32 of the id as text leaves 1 modulo 3 (a null id isn't held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` labelled rows that aren't held out; rows without id, label or text row take no part."""
-    ship(docs.sparkSession)
-    known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded by `sample`
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
-    rows = own.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(_cut, "toxic int, x binary, sentence binary, n int").collect()
-    return fit(sorted(rows, key=lambda r: (crc32(r["x"]), crc32(r["sentence"]), r["toxic"])))
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> Model:
+    """Fit on at most `sample` labelled rows, and `most` bytes of their features, that aren't held out.
+
+    Rows without id, label or text row take no part; of an id with several labels
+    the larger counts, of one with several texts the least. No labelled row gives
+    the score of a rare event.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded by `sample`
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    own = own.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    cut = stored(mapped(own.select("doc_id", "toxic", "text"), _cut, "doc_id long, toxic int, x binary, sentence binary, n int"), "features")
+    so_far = F.sum(F.length("x") + F.length("sentence")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of `sample` rows at most
+    taken = cut.select("doc_id", so_far.alias("bytes")).where(F.col("bytes") <= most)
+    rows = cut.join(F.broadcast(taken.select("doc_id")), "doc_id", "left_semi").drop("doc_id").toArrow().to_pylist()  # bounded by `most`
+    dropped(cut)
+    return calibrated(sorted(rows, key=lambda r: (crc32(r["x"]), crc32(r["sentence"]), r["toxic"])))
 
 
 def _weigher(model: Model):
-    """A function of a text column: each row's score, its sentences, and its worst sentence's score and byte range."""
+    """A function of a text column: each row's score, its sentences, and its worst sentence's score and range in code points."""
     bias, kept = model.bias, np.flatnonzero(model.weights)
     values = model.weights[kept]
 
@@ -180,8 +230,9 @@ def _weigher(model: Model):
         quiet = np.add.reduceat(np.log1p(-p), row_first)
         bounds = np.append(row_first, len(first))
         worst = np.array([i + int(np.argmax(p[i:j])) for i, j in zip(bounds[:-1], bounds[1:], strict=True)])
-        _, at = textkit.buffers(column)
-        return np.clip(-np.expm1(quiet), 0, 1), np.diff(bounds), p[worst], first[worst] - at[:-1], stop[worst] - at[:-1]
+        data, at = textkit.buffers(column)
+        points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # code points before each byte
+        return sigmoid(model.slope * log_odds(quiet) + model.shift), np.diff(bounds), p[worst], points[first[worst]] - points[at[:-1]], points[stop[worst]] - points[at[:-1]]
 
     return weigh
 
@@ -209,19 +260,20 @@ def _sieve(model: Model, threshold: float):
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, text, ...) -> a row each: doc_id, score, n_sentences, and the worst sentence's score and byte range.
+    """(doc_id, text, ...) -> a row each: doc_id, score, n_sentences, and the worst sentence's score and range in code points.
 
     Null and empty texts are one empty sentence. Ties go to the first sentence.
+    Repeated rows are kept as rows, a null doc_id stays null, other columns
+    aren't read, an empty table gives no rows. Very long texts are scored whole.
     """
-    ship(docs.sparkSession)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scorer(model), "doc_id long, score double, n_sentences long, worst_score double, worst_begin long, worst_end long")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return mapped(docs, _scorer(model), "doc_id long, score double, n_sentences long, worst_score double, worst_begin long, worst_end long")
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows, all columns as they are, whose score is below the threshold."""
-    ship(docs.sparkSession)
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    return docs.mapInArrow(_sieve(model, threshold), docs.schema)
+    return mapped(docs, _sieve(model, threshold), docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
