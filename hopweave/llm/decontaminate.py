@@ -6,7 +6,9 @@ An item's containment in a document is the share of the item's distinct
 five-word shingles that the document has. Only shingles that some item has
 matter for it, so a document is first reduced to those (a join of shingle
 hashes with the benchmark's, broadcast after its size is checked). Documents
-with the same reduced set are one class. Then, as in a containment ensemble:
+with the same reduced set are one class, and so are items with the same set, so
+a passage that many documents or items repeat is met once. Then, as in a
+containment ensemble:
 
 - classes and items are partitioned by set size (powers of two);
 - for a pair of partitions the containment threshold t gives a least Jaccard
@@ -29,7 +31,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import small, stored, table
+from .runtime import dropped, small, stored, table
 from .textkit import SHINGLE_WORDS
 
 PERCENT = 75
@@ -78,7 +80,6 @@ def rows_of_band(item_level: int, class_level: int) -> int:
 def _signature(shingles: Column) -> Column:
     """HASHES minhashes of a set of hashes."""
 
-
     def least(k: int) -> Column:  # a lambda with two arguments would be given the index
         return F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, F.lit(k))))
 
@@ -97,36 +98,40 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     one. Null ids, null and blank texts are in no pair. An item of fewer than
     five words is one shingle of them all, found only as a whole short text.
     Repeated items are each reported. Words are split at ASCII white space and
-    lower-cased.
+    lower-cased. Very long texts are read whole; other columns aren't read; an
+    empty table on either side gives no rows.
     """
     spark = docs.sparkSession
     bench = stored(shingled(items, "item_id").distinct(), "bench")
-    known = bench.select("h").distinct()
-    known = stored(known, "known")
+    known = stored(bench.select("h").distinct(), "known")
     hits = shingled(docs, "doc_id").join(small(known, BROADCAST_SHINGLES), "h")
     reduced = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("h")).alias("own"))
     reduced = stored(reduced.select("doc_id", "own", F.xxhash64("own").alias("d1"), F.xxhash64(F.lit(1), "own").alias("d2")), "reduced")
     classes = stored(reduced.groupBy("d1", "d2").agg(F.first("own").alias("own")).withColumn("n", F.size("own")).withColumn("level", _levels(F.col("n"))), "classes")
-    wanted = stored(bench.groupBy("item_id").agg(F.collect_set("h").alias("want")).withColumn("q", F.size("want")).withColumn("item_level", _levels(F.col("q"))), "items")
+    each = bench.groupBy("item_id").agg(F.array_sort(F.collect_set("h")).alias("want"))
+    each = stored(each.select("item_id", "want", F.xxhash64("want").alias("i1"), F.xxhash64(F.lit(1), "want").alias("i2")), "each")
+    wanted = stored(each.groupBy("i1", "i2").agg(F.min("item_id").alias("item"), F.first("want").alias("want")).withColumn("q", F.size("want")).withColumn("item_level", _levels(F.col("q"))), "items")
+    member = stored(each.select("item_id", "i1", "i2").join(wanted.select("i1", "i2", "item"), ["i1", "i2"]).select("item_id", "item"), "member")
 
     plan = [(a, b, rows_of_band(a, b)) for a in range(_MAX_CLASS) for b in range(_MAX_CLASS)]
     plan = spark.createDataFrame([x for x in plan if x[2] >= 0], "item_level int, level int, r int")  # fixed: at most 1,600 rows
     mine = classes.select("level").distinct()
-    live = plan.join(wanted.select("item_level").distinct(), "item_level").join(mine, "level")
-    banded = stored(live, "levels")
+    banded = stored(plan.join(wanted.select("item_level").distinct(), "item_level").join(mine, "level"), "levels")
     signed_items = stored(wanted.withColumn("sig", _signature(F.col("want"))), "signed")
     signed = stored(classes.join(F.broadcast(banded.where("r > 0").select("level").distinct()), "level", "left_semi").withColumn("sig", _signature(F.col("own"))), "signed")
-    left = signed_items.join(F.broadcast(banded.where("r > 0")), "item_level").select("item_id", "level", F.explode(_bands(F.col("sig"), F.col("r"))).alias("key"))
+    left = signed_items.join(F.broadcast(banded.where("r > 0")), "item_level").select("item", "level", F.explode(_bands(F.col("sig"), F.col("r"))).alias("key"))
+    left = stored(left.distinct(), "bands")
     right = signed.join(F.broadcast(banded.where("r > 0").select("level", "r").distinct()), "level").select("d1", "d2", "level", F.explode(_bands(F.col("sig"), F.col("r"))).alias("key"))
-    near = right.join(left.distinct(), ["level", "key"]).select("d1", "d2", "item_id")
+    near = right.join(small(left), ["level", "key"]).select("d1", "d2", "item")
     far = classes.join(F.broadcast(banded.where("r = 0").select("level").distinct()), "level", "left_semi").select("d1", "d2", "level", F.explode("own").alias("h"))
-    tiny = wanted.join(F.broadcast(banded.where("r = 0")), "item_level").select("item_id", "level", F.explode("want").alias("h"))
-    candidates = stored(near.unionByName(far.join(tiny, ["level", "h"]).select("d1", "d2", "item_id")).distinct(), "candidates")
+    tiny = stored(wanted.join(F.broadcast(banded.where("r = 0")), "item_level").select("item", "level", F.explode("want").alias("h")), "tiny")
+    candidates = stored(near.unionByName(far.join(small(tiny), ["level", "h"]).select("d1", "d2", "item")).distinct(), "candidates")
 
-    pairs = candidates.join(classes.select("d1", "d2", "own"), ["d1", "d2"]).join(wanted.select("item_id", "want", "q"), "item_id")
+    pairs = candidates.join(classes.select("d1", "d2", "own"), ["d1", "d2"]).join(wanted.select("item", "want", "q"), "item")
     pairs = pairs.withColumn("n_shared", F.size(F.array_intersect("own", "want"))).where(F.col("n_shared") * 100 >= F.col("q") * PERCENT)
-    found = stored(pairs.select("d1", "d2", "item_id", F.col("n_shared").cast("long").alias("n_shared"), F.col("q").cast("long").alias("n_item")), "found")
-    return reduced.select("doc_id", "d1", "d2").join(found, ["d1", "d2"]).select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    found = stored(pairs.select("d1", "d2", "item", F.col("n_shared").cast("long").alias("n_shared"), F.col("q").cast("long").alias("n_item")).join(small(member), "item").drop("item"), "found")
+    dropped(bench, known, classes, each, wanted, banded, signed_items, signed, left, tiny, candidates, member)
+    return reduced.select("doc_id", "d1", "d2").join(small(found), ["d1", "d2"]).select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
