@@ -106,8 +106,7 @@ def crf():
 def test_crf_held_out(crf):
     right = total = 0
     for row in pii.labelled_table(150, seed=1234):
-        codes = np.array([[pii.shape(x) for x, _ in row]])
-        path = crf.viterbi(codes, np.array([len(row)]))[0]
+        path = crf.viterbi(np.array([[0, *pii.shapes([x for x, _ in row]), 0]]))[0][1:-1]
         total += len(row)
         right += sum(pii.LABELS[p] == y for p, (_, y) in zip(path, row, strict=True))
     assert right / total > 0.97
@@ -117,10 +116,10 @@ def test_viterbi_is_the_best_path(crf):
     """Against every path of a short row."""
     from itertools import product
 
-    codes = np.array([[pii.shape(t) for t in ("Mr", "John", "x")]])
+    codes = np.array([pii.shapes(["Mr", "John", "x"])])
     e = crf.emissions(codes)[0]
     best = max(product(range(len(pii.LABELS)), repeat=3), key=lambda p: e[0, p[0]] + sum(crf.move[a, b] + e[i + 1, b] for i, (a, b) in enumerate(zip(p, p[1:], strict=False))))
-    assert tuple(crf.viterbi(codes, np.array([3]))[0]) == best
+    assert tuple(crf.viterbi(codes)[0]) == best
 
 
 def test_added_spans(crf):
@@ -136,6 +135,48 @@ def test_long_windows_are_cut(crf):
     assert ("phone", len(t) - 17, len(t)) in pii.find([t], crf)[0][1]
 
 
+# Sentences that no frame of the labelled table wrote, with what is to be found in them.
+SENTENCES = [
+    ("Hello, my name is John Smith and I would like a room.", [("name", "John Smith")]),
+    ("Last week Rev. Tom Hardy held the service.", [("name", "Rev. Tom Hardy")]),
+    ("Then Señor José Núñez-García signed it", [("name", "Señor José Núñez-García")]),
+    ("Please ask Mrs. Eleanor Rigby for the keys", [("name", "Mrs. Eleanor Rigby")]),
+    ("Mein Name ist Karl Weber und ich komme aus Ulm", [("name", "Karl Weber")]),
+    ("The deposit goes to DE89370400440532013000 by Friday", [("iban", "DE89370400440532013000")]),
+    ("Use GB82 WEST 1234 5698 7654 32 for the transfer", [("iban", "GB82 WEST 1234 5698 7654 32")]),
+    ("You can reach us on 743-555-3824 all day", [("phone", "743-555-3824")]),
+    ("In London it is 020 7946 0958 for now", [("phone", "020 7946 0958")]),
+    ("write to joe [at] example [dot] com about it", [("email", "joe [at] example [dot] com")]),
+    ("his number is 219-09-9999 on the form", [("natid", "219-09-9999")]),
+    ("The train to Berlin leaves at 10:30 from platform 7.", []),
+    ("On 2021-04-05 The Company said that it is Good News for all.", []),
+    ("Version 2.10.3 of the tool needs 512 MB, see chapter 4.2 (page 118).", []),
+    ("What is the name of the Rose? It is not known.", []),
+    ("In 1984 Winston Smith wrote 300 pages at home.", []),
+    ("She was called home at once. Dear me, he said.", []),
+    ("Invoice 20231105 for 12 items at 3.50 each, total 42.00", []),
+    ("The end. The end. The end. The end. The end. The end.", []),
+]
+
+
+def test_crf_on_sentences_of_others(crf):
+    """Precision and recall of each kind on sentences that the generator didn't write."""
+    right = wrong = missed = 0
+    for text, want in SENTENCES:
+        got = {(k, text[a:b]) for k, a, b in pii.find([text], crf)[0][1]}
+        right, wrong, missed = right + len(got & set(want)), wrong + len(got - set(want)), missed + len(set(want) - got)
+    assert missed <= 1 and wrong <= 1 and right >= 10
+
+
+def test_pieces_decode_as_the_whole(crf, monkeypatch):
+    """A text that is cut into many pieces has the spans of the same text decoded at once."""
+    text = " ".join(t for t, _ in SENTENCES) * 8
+    want = pii.added([text], crf)
+    monkeypatch.setattr(pii, "PIECE", 64)
+    assert pii.added([text], crf) == want and len(want[0]) > 60
+    assert pii.added(["", text, "", "x"], crf) == [[], want[0], [], []]
+
+
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
