@@ -9,8 +9,10 @@ committed batches.
 A batch is committed once: its delta is written to a folder of its own and
 becomes visible by one rename to `batch=<id>`. A batch whose folder is there is
 left out, so a batch that is sent again after a lost driver changes nothing;
-what an unfinished try left behind is never read. `compact` folds committed
-batches into one without a time at which a reader sees both or neither.
+what an unfinished try left behind is never read. `compact` folds the batches
+of one listing into a base that names them; the base counts from one rename on,
+in place of what it names, and a batch that is committed meanwhile is in neither
+the sums nor the names. Folders that a base has folded are then deleted.
 
 Tokens are counted by the tokenizers of TOKENIZERS on whole texts: white-space
 words in Spark's own functions, and a byte-level BPE by tiktoken in Arrow
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
-from .runtime import dropped, new_path, ship, stored, table
+from .runtime import dropped, mapped, new_path, stored, table
 
 #: The vocabulary's path is a parameter; the driver reads it and its bytes go to the executors.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -57,17 +59,17 @@ def pieces(text: str, most: int = PIECE) -> list[str]:
     return [*out, text[at:]]
 
 
-_encodings: dict = {}
+def encoding(raw: bytes):
+    """The tokenizer of a vocabulary file's bytes."""
+    import tiktoken
+
+    ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, raw.splitlines())}
+    return tiktoken.Encoding("counts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def _counter(raw: bytes):
     def run(batches):
-        import tiktoken
-
-        if len(raw) not in _encodings:
-            ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, raw.splitlines())}
-            _encodings[len(raw)] = tiktoken.Encoding("counts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        e = _encodings[len(raw)]
+        e = encoding(raw)  # a task's own, gone with it
         for whole in batches:
             for b in textkit.slices(whole, "text"):
                 n = [sum(len(e.encode_ordinary(p)) for p in pieces(t)) if t else 0 for t in b.column("text").to_pylist()]
@@ -84,12 +86,13 @@ def words(text: Column) -> Column:
 def counted(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, text, source, lang, ...) -> doc_id, source, lang, tokenizer, n_tokens, n_chars: a row for each document and tokenizer.
 
-    Null texts count as empty, a null source or language as ''. Rows that repeat count each.
+    Null texts count as empty, a null source or language as ''. Rows that repeat
+    count each, and so do rows with a null doc_id; an empty table gives no rows.
+    Very long texts are counted whole. Other columns aren't read.
     """
-    ship(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.length(text).cast("long").alias("n_chars"), words(text).alias("words"), text.alias("text"))
-    both = rows.mapInArrow(_counter(Path(vocabulary).read_bytes()), "doc_id long, source string, lang string, n_chars long, words long, bpe long")
+    both = mapped(rows, _counter(Path(vocabulary).read_bytes()), "doc_id long, source string, lang string, n_chars long, words long, bpe long")
     each = F.explode(F.array(F.struct(F.lit(WORDS).alias("tokenizer"), F.col("words").alias("n_tokens")), F.struct(F.lit(BPE).alias("tokenizer"), F.col("bpe").alias("n_tokens")))).alias("e")
     return both.select("doc_id", "source", "lang", "n_chars", each).select("doc_id", "source", "lang", "e.tokenizer", "e.n_tokens", "n_chars")
 
@@ -120,25 +123,21 @@ class Rollup:
     def _at(self, name: str):
         return self._jpath(f"{self.path}/{name}")
 
-    def batches(self) -> list[str]:
-        """Ids of the batches that count: committed ones, those folded into a base by its list."""
-        base, names = self._base()
-        return sorted({*names, *self._folders()})
-
-    def _folders(self) -> dict[str, str]:
+    def _listed(self) -> tuple[str | None, list[str], dict[str, str]]:
+        """Of one listing: the last base, the batches folded into it, and the folders of those that aren't."""
         if not self._fs.exists(self._jpath(self.path)):
-            return {}
-        return {s.getPath().getName()[6:]: s.getPath().toString() for s in self._fs.listStatus(self._jpath(self.path)) if s.getPath().getName().startswith("batch=")}
+            return None, [], {}
+        found = {s.getPath().getName(): s.getPath().toString() for s in self._fs.listStatus(self._jpath(self.path))}
+        last = max((int(n[5:]) for n in found if n.startswith("base=")), default=None)
+        base = None if last is None else found[f"base={last}"]
+        folded = [r["value"] for r in self.spark.read.text(base + "/folded").collect()] if base else []  # one id for each folded batch
+        gone = {f"batch={b}" for b in folded}
+        return base, folded, {n[6:]: at for n, at in found.items() if n.startswith("batch=") and n not in gone}
 
-    def _base(self) -> tuple[str | None, list[str]]:
-        """The last base's folder and the batches in it."""
-        if not self._fs.exists(self._jpath(self.path)):
-            return None, []
-        found = sorted((int(n[5:]), s.getPath().toString()) for s in self._fs.listStatus(self._jpath(self.path)) if (n := s.getPath().getName()).startswith("base="))
-        if not found:
-            return None, []
-        names = self.spark.read.text(found[-1][1] + "/folded").collect()  # one id for each folded batch
-        return found[-1][1], [r["value"] for r in names]
+    def batches(self) -> list[str]:
+        """Ids of the batches that count: committed ones, those folded into a base by its list."""
+        _, folded, open_ = self._listed()
+        return sorted({*folded, *open_})
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch of signed changes; False, and nothing done, if it is there already."""
@@ -147,8 +146,7 @@ class Rollup:
         if batch in self.batches():
             return False
         trying = f".try-{batch}-{uuid.uuid4().hex}"
-        sums = changes.groupBy(*GROUP).agg(*[F.sum(m).cast("long").alias(m) for m in MEASURES]).where(" or ".join(f"{m} <> 0" for m in MEASURES))
-        sums.write.parquet(f"{self.path}/{trying}")
+        _summed(changes).write.parquet(f"{self.path}/{trying}")
         if self._fs.exists(self._at(f"batch={batch}")) or not self._fs.rename(self._at(trying), self._at(f"batch={batch}")):
             self._fs.delete(self._at(trying), True)
             return False
@@ -158,32 +156,49 @@ class Rollup:
             return False
         return True
 
-    def deltas(self) -> DataFrame:
-        base, names = self._base()
-        paths = [p for b, p in self._folders().items() if b not in names] + ([base + "/sums"] if base else [])
+    def _deltas(self, base: str | None, folders: dict[str, str]) -> DataFrame:
+        paths = [*folders.values(), *([base + "/sums"] if base else [])]
         return self.spark.read.schema(_DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], _DELTA)
 
+    def deltas(self) -> DataFrame:
+        base, _, folders = self._listed()
+        return self._deltas(base, folders)
+
     def totals(self) -> DataFrame:
         """Sums by source, language and tokenizer over all that is committed; groups that came down to nothing are left out."""
-        sums = self.deltas().groupBy(*GROUP).agg(*[F.sum(m).cast("long").alias(m) for m in MEASURES])
-        return sums.where(" or ".join(f"{m} <> 0" for m in MEASURES))
+        return _summed(self.deltas())
 
     def compact(self) -> None:
-        """Fold what is committed into a new base; its one rename makes it count in place of the batches it lists."""
-        names = self.batches()
-        if not names:
+        """Fold what one listing shows into a new base; its one rename makes it count in place of the batches it lists.
+
+        Folded folders are deleted after the rename. A reader that listed them
+        before and reads them after fails on a missing file and may read again.
+        """
+        old, folded, folders = self._listed()
+        if not folders:
             return
-        old, _ = self._base()
         number = int(old.rpartition("=")[2]) + 1 if old else 1
         trying = f".try-base-{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{self.path}/{trying}/sums")
-        self.spark.createDataFrame([(n,) for n in names], "value string").coalesce(1).write.text(f"{self.path}/{trying}/folded")
-        if not self._fs.rename(self._at(trying), self._at(f"base={number}")):
+        _summed(self._deltas(old, folders)).write.parquet(f"{self.path}/{trying}/sums")
+        self.spark.createDataFrame([(n,) for n in sorted({*folded, *folders})], "value string").coalesce(1).write.text(f"{self.path}/{trying}/folded")
+        if self._fs.exists(self._at(f"base={number}")) or not self._fs.rename(self._at(trying), self._at(f"base={number}")) or self._fs.exists(self._at(f"base={number}/{trying}")):
+            self._fs.delete(self._at(f"base={number}/{trying}"), True)
+            self._fs.delete(self._at(trying), True)
             raise RuntimeError(f"base {number} was made by another writer")
+        for at in [*folders.values(), *([old] if old else [])]:
+            self._fs.delete(self._jpath(at), True)
+
+
+def _summed(changes: DataFrame) -> DataFrame:
+    sums = changes.groupBy(*GROUP).agg(*[F.sum(m).cast("long").alias(m) for m in MEASURES])
+    return sums.where(" or ".join(f"{m} <> 0" for m in MEASURES))
 
 
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents go in with their n_chars as a provisional count; counting then revises every row, and the first batch is sent twice; rows without a text are deleted and put back."""
+    """Totals of all documents after a life of batches: inserted with a guess (a token for four characters), revised by the counts, the first batch sent twice, folded; rows without a text deleted and put back.
+
+    Every row of `documents` counts once in the result, whatever its text. An empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     exact = stored(counted(docs), "counts")
     provisional = exact.withColumn("n_tokens", F.floor(F.col("n_chars") / 4).cast("long"))
