@@ -22,7 +22,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .runtime import stored, table
@@ -116,7 +116,9 @@ def conversations(messages: DataFrame) -> DataFrame:
     (the turn it answers; null for a first message), n_quotes and n_linked (its
     distinct quoted passages and lines, and those that were found), max_level, text (without
     quotes; empty for a null text). Messages that share a turn share position
-    and reply. Rows without conv_id or turn have no position and no reply.
+    and reply. Rows without conv_id or turn have no position and no reply. Very
+    long texts are read whole; other columns aren't read; an empty table gives
+    no rows.
     """
     rows, found = linked(messages)
     best = found.where("same_conv").groupBy("conv_id", "turn").agg(F.max(F.when(F.col("level") == 1, F.col("origin_turn"))).alias("near"), F.max("origin_turn").alias("any"))
@@ -129,16 +131,17 @@ def conversations(messages: DataFrame) -> DataFrame:
     blocks = turns.groupBy("conv_id", block.alias("block")).agg(F.array_sort(F.collect_list("turn")).alias("turns"))  # BLOCK_TURNS at most
     blocks = stored(blocks, "turns")
     size = blocks.select("conv_id", "block", F.size("turns").cast("long").alias("n"), F.element_at("turns", -1).alias("last"))
-    several = size.groupBy("conv_id").count().where("count > 1").select("conv_id")
-    many = size.join(several, "conv_id")
-    before = many.alias("x").join(many.alias("y"), (F.col("x.conv_id") == F.col("y.conv_id")) & (F.col("y.block") < F.col("x.block"))).groupBy(F.col("x.conv_id").alias("conv_id"), F.col("x.block").alias("block")).agg(F.sum("y.n").alias("skip"), F.max("y.last").alias("previous"))
+    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for BLOCK_TURNS turns, so few even for the longest conversation
+    before = size.select("conv_id", "block", F.sum("n").over(earlier).alias("skip"), F.max("last").over(earlier).alias("previous"))
     at = blocks.join(before, ["conv_id", "block"], "left")
     at = at.select("conv_id", "turns", "skip", "previous", F.posexplode("turns").alias("p", "turn"))
     at = at.select("conv_id", "turn", (F.col("p") + 1 + F.coalesce("skip", F.lit(0))).cast("long").alias("position"), F.when(F.col("p") > 0, F.try_element_at("turns", F.col("p"))).otherwise(F.col("previous")).alias("before"))
     at = at.join(extra, ["conv_id", "turn"], "left").select("conv_id", "turn", "position", F.coalesce("near", "any", "before").alias("reply_to"), "n_linked")
 
     units = F.flatten(F.transform(F.filter("passages", lambda p: p["level"] > 0), lambda p: _units(p["body"])))
-    out = rows.join(at, ["conv_id", "turn"], "left")
+    # rows without conv_id or turn stay out of the join, where they would all be one key
+    named = rows.where("conv_id is not null and turn is not null").join(at, ["conv_id", "turn"], "left")
+    out = named.unionByName(rows.where("conv_id is null or turn is null"), allowMissingColumns=True)
     return out.select(
         "conv_id", "turn", "role", "position", "reply_to", F.size(F.array_distinct(units)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.array_max(F.transform("passages", lambda p: p["level"])).alias("max_level"), clean_text().alias("text"),
     )

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import spans as sp
 from . import textkit
-from .runtime import ship, table
+from .runtime import mapped, table
 
 BASE = ("assign", "access", "hex")
 ADDED = ("der_key", "ssh_key", "signed_token")
@@ -284,10 +284,12 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text, ...) -> a row each: counts of the base kinds, the base spans' digest and all spans as kind:start:end.
 
     Null texts are empty; an empty text has no spans (the digest of nothing).
-    Rows that repeat are kept as rows. One pass, no shuffle.
+    Rows that repeat are kept as rows, a null doc_id stays null, an empty table
+    gives no rows, other columns aren't read. Very long texts are read whole.
+    One pass, no shuffle.
     """
-    ship(docs.sparkSession)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return mapped(docs, _run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
