@@ -7,6 +7,7 @@ import json
 import random
 import re
 import struct
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -268,9 +269,9 @@ def test_html_rules():
     page = """<html><head><title>T</title><style>p{}</style></head><body><nav><a href=1>Home</a></nav><!-- x --><div class="ad">Buy the thing that all of us want to have in the house.</div>
     <article><h1>Title &amp; more</h1><p>The first  of the\nparagraphs, with <b>bold</b> and&nbsp;a <a href=2>link</a>.<p>Short.</p><script>var t="</p>";</script><div class="comments"><p>I like the way that you wrote this one for all of us.</p></div></article>
     <footer>&copy; 2020</footer></body></html>"""
-    assert html_text.main_text(page) == "Title & more\nThe first of the paragraphs, with bold and a link.\nShort."
+    assert html_text.main_text(page) == "Title & more\n\nThe first of the paragraphs, with bold and a link.\n\nShort."
     loose = "<div class=menu><a href=1>Home</a> <a href=2>About the site</a></div><h2>Head</h2><p>This is the text of the page and it has a lot of the words that are in the list.</p><p>Short one.</p><p>And this is the rest of the text that the page has, with many of the words in it.</p><div id='cookie-notice'>We use the cookies and you agree to all of that by reading it.</div>"
-    assert html_text.main_text(loose).split("\n")[0] == "Head" and "Short one." in html_text.main_text(loose) and "cookies" not in html_text.main_text(loose)
+    assert html_text.main_text(loose).split("\n\n")[0] == "Head" and "Short one." in html_text.main_text(loose) and "cookies" not in html_text.main_text(loose)
     for odd in (None, "", "<", "<p", "<<<>>>", "&#xD800; &bogus; &#99999999;", "<script>", "<p>" * 2000, "</div>" * 2000, "<!-- open"):
         html_text.main_text(odd)
 
@@ -351,7 +352,35 @@ def test_html_article_forms(page):
 )
 def test_html_text_after_what_is_dropped(before):
     assert html_text.main_text(f"<html><body>{before}<p>{STORY}</p></body></html>") == STORY
-    assert html_text.main_text(f"<title>T</title><head><meta charset=utf-8><p>{STORY}</p>{before}<p>{STORY}</p>") == f"{STORY}\n{STORY}"
+    assert html_text.main_text(f"<title>T</title><head><meta charset=utf-8><p>{STORY}</p>{before}<p>{STORY}</p>") == f"{STORY}\n\n{STORY}"
+
+
+def test_html_time_is_linear():
+    """A megabyte of each kind of broken or repeated markup."""
+    for x in ("<b ", "<div><x></y>", "<a x=\"b>", "<a x='b>\"", "<p>a ", "<script/>", "<", "<option>", "<div></p>", "<title/><script/>", "&", "<a x=' ", "<!--"):
+        start = time.process_time()
+        html_text.main_text(x * ((1 << 20) // len(x)))
+        assert time.process_time() - start < 10, x
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div class=search><h1>Head</h1><p>{STORY}</p></div>", f"Head\n\n{STORY}"),  # a layout's name, and nothing else is left
+        (f"<p>{STORY}</p><div class=search><p>{STORY} {REPLY}</p></div>", STORY),
+        (f'<a href="x>more</a><p class="y">{STORY}</p>', STORY),  # an unclosed quote leaks no markup
+        (f'<p title="a > b" data-x="<i>no</i>">{STORY}</p>', STORY),
+        ("<p>Ez egy hosszabb magyar mondat amely biztosan tartalmaz sok olyan szavat amit nem ismer senki</p><p>rövid</p>", "Ez egy hosszabb magyar mondat amely biztosan tartalmaz sok olyan szavat amit nem ismer senki\n\nrövid"),
+        (f"<ul><li>One<li>Two</ul><p>{STORY}<div>{STORY}</div>", f"One\n\nTwo\n\n{STORY}\n\n{STORY}"),
+        (f"<p>{STORY}</p><p><a href=1>One of the links</a> <a href=2>and another of them</a></p><p>Short.</p><p>{STORY}</p>", f"{STORY}\n\nShort.\n\n{STORY}"),
+        (f"<p>{STORY}</p><p>xx yy zz xx yy zz xx yy zz xx yy zz xx yy zz</p>", STORY),  # long and without stop words
+        (f"<article><h1>Head</h1><p>xx%% yy%% zz%% xx%% yy%% zz%% xx%% yy%% zz%% xx%% yy%%</p><p>{STORY}</p></article><div><p>{STORY}</p></div><footer>f</footer>", f"Head\n\nxx%% yy%% zz%% xx%% yy%% zz%% xx%% yy%% zz%% xx%% yy%%\n\n{STORY}"),
+        (f"<script>if (a<b && c>'x') d();</script><p>{STORY}</p>", STORY),
+        ("<nav>Home</nav><div class=ad>Buy</div><footer>f</footer>", ""),
+    ],
+)
+def test_html_blocks_by_words_and_neighbours(page, want):
+    assert html_text.main_text(f"<html><body>{page}</body></html>") == want
 
 
 def test_keys_in_common_places():

@@ -204,6 +204,20 @@ def test_pages(spark):
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_text.extracted(df).collect()) == [(0, "", 0), (1, "Some text", 9), (1, "Some text", 9), (2, "", 0)]
 
 
+def test_pages_whole_table(spark, sf_dir):
+    """Every page of the table: the paragraphs of its one article, cut out plainly."""
+    import html
+
+    rows = table(spark, sf_dir, "pages").collect()
+    want = []
+    for r in rows:
+        article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        parts = [re.sub(r"<[^>]*>", "", p.replace("<br>", " ")) for p in re.split(r"</?(?:p|h1)>", article)]
+        text = "\n\n".join(x for x in (" ".join(html.unescape(p).split()) for p in parts) if x)
+        want.append((r["page_id"], r["url"], text, len(text)))
+    assert sorted(tuple(r) for r in html_text.op9_html_text(spark, sf_dir).collect()) == sorted(want)
+
+
 def test_rollup(spark):
     roll = token_counts.Rollup(spark, new_path(spark, "test"))
     assert roll.totals().count() == 0 and roll.batches() == []
