@@ -312,8 +312,8 @@ def second_pass(found: list[Block]) -> None:
         out, label, distance, which = {}, OPEN, 0, None
         for i in order:
             b = found[i]
-            if counts is not None and (b.article, b.which) != which:
-                label, distance, which = OPEN, 0, (b.article, b.which)
+            if (b.article, b.which) != which:  # an article's edge: its blocks are one step further away, and don't look out at all
+                label, distance, which = (label, distance + 1, (b.article, b.which)) if counts is None else (OPEN, 0, (b.article, b.which))
             if b.label and (counts is None or counts(b)):
                 label, distance = b.label, 0
             else:
