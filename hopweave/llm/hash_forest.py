@@ -3,46 +3,51 @@
 Each of TREES trees gives every vector a string of BITS hyperplane bits and
 keeps the strings sorted. A query descends to its longest matching prefix in
 each tree, then all trees ascend together, one bit at a time, and every level
-adds the rows whose strings share that shorter prefix, until enough candidates
-are met. Candidates are scored exactly, by cosine in double precision.
-
-On Spark a tree's rows are dealt by a hash into parts that one task can hold
-(bounded bytes), its queries into blocks, and every part of the rows meets
-every block of the queries, so the sorted arrays live where their rows are and
-no prefix, however short, is out of reach:
-
-1. rows of equal vectors become one row with their smallest ids (ties go to the
-   smaller id, so no other copy can be in a result);
-2. pass one counts, in each part and for each query, how many rows share each
-   prefix length (binary search in the sorted array);
-3. counts are added up over parts and trees, and each query gets the longest
-   prefix length at which all trees together offer SHARE of the rows
-   (CANDIDATES at least), whatever the size of the table;
-4. pass two takes these rows as candidates, scores them in the part (queries of
-   one prefix together) and hands on each part's best; a last aggregation keeps
-   the best of all.
-
-Both passes move each row once a tree and block of queries. The hyperplanes are
-random and need no fitting. As a query looks at a share of the table, the work
-grows with rows times queries.
+adds the rows whose strings share that shorter prefix.
+
+How far a query ascends follows from what it finds, not from the table's size.
+Two vectors at an angle a share a prefix of L bits in one tree with probability
+(1 - a/pi)^L, so a neighbour that near is met by no tree with probability
+(1 - (1 - a/pi)^L)^TREES. The first pass ascends in every part until FIRST rows
+are met; the k-th best of all of them bounds the angle of the true k nearest
+from above. The second pass ascends to the longest prefix at which a neighbour
+at that angle is missed with probability MISS at most, down to the whole table
+if need be. Near neighbours need long prefixes and few rows, far ones (random
+vectors of many dimensions) a large share, which falls as the table grows.
+
+On Spark rows are dealt by a hash into parts that one task can hold, queries
+into blocks, and every part meets every block. A part builds its trees itself,
+so a pass moves each vector once a block, and no codes at all:
+
+1. vectors of one direction are one row with their smallest ids (ties go to the
+   smaller id, so no other copy can be in a result); vectors of another
+   dimension are another forest;
+2. both passes score their candidates exactly (queries of one prefix together)
+   and hand on each part's k best, with all that tie with the last;
+3. a last aggregation keeps the best of all parts, and their scores are worked
+   out anew, one dot product a pair, from the vectors themselves.
 """
 
 from __future__ import annotations
 
+from math import ceil, log
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import ship, small, stored, table
+from .runtime import dropped, mapped, ship, small, stored, table, tidy
 
-TREES, BITS, NEAREST, EVERY = 20, 32, 5, 50
-#: Rows that a query looks at: this many over all trees, and at least this share of the table.
-CANDIDATES, SHARE = 4000, 0.7
-#: Bytes of vectors that one task holds of a tree's rows, and of its queries.
-PART_BYTES = 32 << 20
+TREES, BITS, NEAREST, EVERY = 48, 24, 5, 50
+#: Rows of a part that the first pass looks at for each query, and the chance that the second misses a neighbour as near as those found.
+FIRST, MISS = 400, 0.07
+#: Bytes of vectors of a part and of a block of queries; smaller tables are cut into SPREAD parts of SMALL_BYTES at least, so that all cores work.
+PART_BYTES, SMALL_BYTES, SPREAD = 32 << 20, 1 << 20, 24
 #: Scores that are held at once.
-_SCORES = 1 << 21
+_SCORES = 1 << 20
+#: Scores that differ by less are taken as ties until they are worked out anew.
+EPSILON = 1e-9
 SEED = 20
 
 
@@ -50,179 +55,256 @@ def planes(dimension: int, trees: int = TREES, bits: int = BITS, seed: int = SEE
     return np.random.default_rng(seed).standard_normal((dimension, trees * bits)).astype(np.float32)
 
 
-def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(-1, dimension)
-
-
-def _valid(batches):
-    """Vectors as unit vectors' and original bytes; those null, zero or with null or non-finite components go."""
-    for b in batches:
-        ids, raw = [], []
-        for i, v in zip(b.column("vec_id").to_pylist(), b.column("embedding"), strict=True):
-            if i is None or not v.is_valid or v.values.null_count or not len(v.values):
-                continue
-            x = v.values.to_numpy(zero_copy_only=False).astype("<f8")
-            if np.isfinite(x).all() and x.any():
-                ids.append(i)
-                raw.append(x.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["vec_id", "v"])
+def codes(x: np.ndarray, trees: int = TREES, bits: int = BITS) -> np.ndarray:
+    """(n, d) directions -> (n, trees) strings of bits as numbers."""
+    p = planes(x.shape[1], trees, bits)
+    out = np.empty((len(x), trees), dtype=np.int32)
+    weights = (1 << np.arange(bits - 1, -1, -1)).astype(np.float32)  # sums below 2^24 are whole in single precision
+    for at in range(0, len(x), 1000):
+        some = x[at : at + 1000].astype(np.float32)
+        out[at : at + 1000] = ((some @ p) > 0).reshape(len(some), trees, bits).astype(np.float32) @ weights
+    return out
+
+
+def level_for(score: np.ndarray, trees: int = TREES, bits: int = BITS, miss: float = MISS) -> np.ndarray:
+    """The longest prefix at which a vector of that cosine is in no tree's range with probability `miss` at most."""
+    agree = 1 - np.arccos(np.clip(score, -1, 1)) / np.pi
+    need = 1 - miss ** (1 / trees)  # of one tree
+    with np.errstate(divide="ignore"):
+        length = np.where(agree <= 0, 0, np.where(agree >= 1, bits, np.floor(log(need) / np.log(np.clip(agree, 1e-12, 1 - 1e-12)))))
+    return np.clip(length, 0, bits).astype(np.int64)
+
+
+class Forest:
+    """The trees over one part's rows."""
+
+    def __init__(self, x: np.ndarray, trees: int = TREES, bits: int = BITS):
+        self.x, self.trees, self.bits = x, trees, bits
+        every = codes(x, trees, bits)
+        self.order = np.argsort(every, axis=0, kind="stable").astype(np.int32)
+        self.codes = np.take_along_axis(every, self.order, axis=0)
+
+    def ranges(self, tree: int, asked: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each code's prefix of its level begins and ends in a tree."""
+        shift = self.bits - level
+        low = (asked.astype(np.int64) >> shift) << shift
+        own = self.codes[:, tree]
+        return np.searchsorted(own, low), np.searchsorted(own, low + (np.int64(1) << shift))
+
+    def first_levels(self, asked: np.ndarray, rows: int) -> np.ndarray:
+        """The synchronous ascent: the longest prefix at which all trees together offer so many rows (repeats included)."""
+        level = np.full(len(asked), self.bits, dtype=np.int64)
+        open_ = np.arange(len(asked))
+        while len(open_):
+            met = np.zeros(len(open_), dtype=np.int64)
+            for t in range(self.trees):
+                a, b = self.ranges(t, asked[open_, t], level[open_])
+                met += b - a
+            open_ = open_[(met < rows) & (level[open_] > 0)]
+            level[open_] -= 1
+        return level
+
+    def best(self, y: np.ndarray, asked: np.ndarray, level: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """The k best rows of each query's ranges, with all that tie with the last: query, row, score; and how many rows were scored."""
+        found_q, found_r, found_s, looked = [], [], [], 0
+        for t in range(self.trees):
+            begin, end = self.ranges(t, asked[:, t], level)
+            xt = self.x[self.order[:, t]]
+            together = np.lexsort((end, begin))  # queries of one range stand together
+            cuts = np.flatnonzero(np.diff(begin[together]) | np.diff(end[together])) + 1
+            for group in np.split(together, cuts):
+                if not len(group) or begin[group[0]] == end[group[0]]:
+                    continue
+                a, b = int(begin[group[0]]), int(end[group[0]])
+                looked += (b - a) * len(group)
+                step = max(1, _SCORES // (b - a))
+                for some in (group[i : i + step] for i in range(0, len(group), step)):
+                    score = y[some] @ xt[a:b].T
+                    n = min(b - a, k)
+                    edge = np.partition(score, score.shape[1] - n, axis=1)[:, -n, None]
+                    which, place = np.nonzero(score >= edge - EPSILON)
+                    found_q.append(some[which])
+                    found_r.append(self.order[a + place, t])
+                    found_s.append(score[which, place])
+            if t % 8 == 7 or t == self.trees - 1:  # keep what may still be among the best
+                q, r, s = (np.concatenate(x) if x else np.zeros(0, dtype=d) for x, d in ((found_q, np.int64), (found_r, np.int64), (found_s, np.float64)))
+                order = np.lexsort((-s, r, q))
+                q, r, s = q[order], r[order], s[order]
+                one = np.ones(len(q), dtype=bool)
+                one[1:] = (q[1:] != q[:-1]) | (r[1:] != r[:-1])  # a row that several trees offer
+                q, r, s = q[one], r[one], s[one]
+                order = np.lexsort((-s, q))
+                q, r, s = q[order], r[order], s[order]
+                first = np.searchsorted(q, q)
+                last = np.minimum(first + k - 1, np.searchsorted(q, q, side="right") - 1)
+                good = s >= s[last] - EPSILON
+                found_q, found_r, found_s = [q[good]], [r[good]], [s[good]]
+        return found_q[0], found_r[0], found_s[0], looked
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, dimension: int, wide: bool) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8" if wide else "<f4").reshape(-1, dimension)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision, whatever the scale."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _valid(wide: bool):
+    """Vectors' bytes and a digest of their direction; those null, zero or with null or non-finite components go."""
+    import hashlib
+
+    kind = "<f8" if wide else "<f4"
 
-
-def _hasher(dimension: int, trees: int, bits: int):
     def run(batches):
-        p = planes(dimension, trees, bits)
-        weights = (1 << np.arange(bits - 1, -1, -1, dtype=np.int64)).astype(np.int64)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4000):
-                b = whole.slice(at, 4000)
-                x = _matrix(b.column("v"), dimension)
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                codes = ((x.astype(np.float32) @ p) > 0).reshape(len(x), trees, bits).astype(np.int64) @ weights
-                rows = np.repeat(np.arange(len(x)), trees)
-                taken = b.take(pa.array(rows))
-                flat = codes.ravel()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(np.arange(trees, dtype=np.int32), len(x))), pa.array(flat), *[taken.column(n) for n in ("row", "v", "asks")]],
-                    names=["tree", "code", "row", "v", "asks"],
-                )
-
-    return run
-
-
-def _lengths(codes: np.ndarray, code: int, bits: int) -> np.ndarray:
-    """How many rows of a sorted array share each prefix length (0..bits) with a code."""
-    shift = np.arange(bits, -1, -1, dtype=np.int64)
-    low = (code >> shift) << shift
-    return np.searchsorted(codes, low + (np.int64(1) << shift)) - np.searchsorted(codes, low)
-
-
-def _counter(bits: int):
-    def run(table: pa.Table) -> pa.Table:
-        codes = np.sort(table.column("code").to_numpy()[table.column("index").to_numpy(zero_copy_only=False)])
-        asks = table.filter(table.column("query"))
-        counts = [_lengths(codes, c, bits).tolist() for c in asks.column("code").to_pylist()]
-        return pa.table({"row": asks.column("row"), "counts": pa.array(counts, pa.list_(pa.int64()))})
+        for b in batches:
+            ids, raw, one, two = [], [], [], []
+            for i, v in zip(b.column("vec_id").to_pylist(), b.column("embedding"), strict=True):
+                if i is None or not v.is_valid or v.values.null_count or not len(v.values):
+                    continue
+                x = v.values.to_numpy(zero_copy_only=False).astype(kind)
+                if np.isfinite(x).all() and x.any():
+                    y = x.astype(np.float64)
+                    d = hashlib.blake2b((y / np.abs(y).max() + 0.0).tobytes(), digest_size=16).digest()
+                    ids.append(i)
+                    raw.append(x.tobytes())
+                    one.append(int.from_bytes(d[:8], "little", signed=True))
+                    two.append(int.from_bytes(d[8:], "little", signed=True))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["vec_id", "v", "d1", "d2"])
 
     return run
 
 
-def _searcher(dimension: int, bits: int, nearest: int):
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.filter(table.column("index"))
-        order = np.argsort(rows.column("code").to_numpy(), kind="stable")
-        codes = rows.column("code").to_numpy()[order]
-        row_ids = rows.column("row").to_numpy()[order]
-        x = _matrix(rows.column("v").combine_chunks(), dimension)[order]
-        norm = np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1) * np.abs(x).max(axis=1)
-        out_q, out_r, out_s = [], [], []
-        asks = table.filter(table.column("query"))
-        shift = bits - asks.column("level").to_numpy().astype(np.int64)
-        low = (asks.column("code").to_numpy() >> shift) << shift
-        begin, end = np.searchsorted(codes, low), np.searchsorted(codes, low + (np.int64(1) << shift))
-        y = _matrix(asks.column("v"), dimension)
-        y = y / np.abs(y).max(axis=1, keepdims=True)
-        y /= np.linalg.norm(y, axis=1, keepdims=True)
-        ask_ids = asks.column("row").to_numpy()
-        together = np.lexsort((end, begin))  # queries of one range stand together
-        cuts = np.flatnonzero(np.diff(begin[together]) | np.diff(end[together])) + 1
-        for group in np.split(together, cuts):
-            if not len(group) or begin[group[0]] == end[group[0]]:
-                continue
-            a, b = begin[group[0]], end[group[0]]
-            step = max(1, _SCORES // int(b - a))
-            for some in (group[i : i + step] for i in range(0, len(group), step)):
-                score = (y[some] @ x[a:b].T) / norm[a:b]
-                k = min(int(b - a), nearest + 2)
-                edge = np.partition(score, score.shape[1] - k, axis=1)[:, -k, None]
-                which, best = np.nonzero(score >= edge - 1e-12)  # ties at the edge go on, too
-                out_q += ask_ids[some[which]].tolist()
-                out_r += row_ids[a + best].tolist()
-                out_s += score[which, best].tolist()
-        return pa.table({"query": pa.array(out_q, pa.int64()), "row": pa.array(out_r, pa.int64()), "score": pa.array(out_s, pa.float64())})
+def _searcher(wide: bool, trees: int, bits: int, k: int, first: int):
+    """One part and one block: what the queries find there, to their level, or without one in a first ascent."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows, asks = t.filter(t.column("index")), t.filter(t.column("query"))
+        if not rows.num_rows or not asks.num_rows:
+            return pa.table({"query": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        dimension = len(rows.column("v")[0].as_py()) // (8 if wide else 4)
+        forest = Forest(_units(_matrix(rows.column("v"), dimension, wide)), trees, bits)
+        row_ids, ask_ids = rows.column("row").to_numpy(), asks.column("row").to_numpy()
+        out = []
+        for at in range(0, asks.num_rows, 2000):
+            some = asks.slice(at, 2000)
+            y = _units(_matrix(some.column("v"), dimension, wide))
+            asked = codes(y, trees, bits)
+            level = some.column("level").to_numpy()
+            if level[0] < 0:
+                level = forest.first_levels(asked, first)
+            q, r, s, _ = forest.best(y, asked, level, k)
+            out.append((ask_ids[at + q], row_ids[r], s))
+        q, r, s = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"query": pa.array(q), "row": pa.array(r), "score": pa.array(s)})
 
     return run
 
 
-def _cosines(dimension: int):
-    """The score of each pair from the original vectors, the same whatever the order of rows: one dot product a pair."""
+def _cosines(wide: bool):
+    """The score of each pair from the vectors, the same whatever the order of rows: one dot product a pair."""
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = _matrix(b.column("qv"), dimension), _matrix(b.column("v"), dimension)
-            p, q = np.abs(x).max(axis=1, keepdims=True), np.abs(y).max(axis=1, keepdims=True)
-            x, y = x / p, y / q
-            score = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([b.column("query"), b.column("row"), pa.array(score)], names=["query", "row", "score"])
+            if b.num_rows:
+                x, y = ([np.frombuffer(v, dtype="<f8" if wide else "<f4") for v in b.column(c).to_pylist()] for c in ("qv", "v"))
+                score = [float((_units(p[None])[0] * _units(q[None])[0]).sum()) for p, q in zip(x, y, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("query"), b.column("row"), pa.array(score, pa.float64())], names=["query", "row", "score"])
 
     return run
 
 
-def nearest(vectors: DataFrame, trees: int = TREES, bits: int = BITS, k: int = NEAREST, candidates: int = CANDIDATES, share: float = SHARE, every: int = EVERY) -> DataFrame:
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query, and all that tie with the last."""
+    by = Window.partitionBy("query")
+    place = F.row_number().over(by.orderBy(F.desc("score"), "row"))
+    edge = F.max(F.when(F.col("place") == k, F.col("score"))).over(by)
+    return found.withColumn("place", place).withColumn("edge", F.coalesce(edge, F.lit(-2.0))).where(F.col("score") >= F.col("edge") - EPSILON).drop("place", "edge")
+
+
+def nearest(vectors: DataFrame, trees: int = TREES, bits: int = BITS, k: int = NEAREST, candidates: int = FIRST, miss: float = MISS, every: int = EVERY) -> DataFrame:
     """(vec_id, embedding, ...) -> query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by `every`.
 
     Vectors that are null, empty, zero, or hold null or non-finite components
-    take no part; so do null ids and vectors of another dimension than most
-    rows'. Rows that repeat an id and its vector count once. Ties go to the
-    smaller id. Fewer than k other rows give as many as there are.
+    take no part, and null ids don't; a vector's candidates are those of its own
+    dimension. Rows that repeat an id and its vector count once; of an id with
+    several vectors one counts (the least digest). Ties go to the smaller id. Fewer than k other rows give as many as there are; an empty table
+    gives no rows. Other columns aren't read.
     """
     spark = vectors.sparkSession
     ship(spark)
-    valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_valid, "vec_id long, v binary")
-    valid = stored(valid, "valid")
-    sizes = valid.groupBy(F.length("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dimension = sizes[0]["n"] // 8
-    same = valid.where(F.length("v") == dimension * 8)
-    # one row for equal vectors: the ids that can be in a result (k and the query's own), and every id that asks
-    asked = F.col("vec_id") % every == 0
-    ranked = same.groupBy("v", "vec_id").count().drop("count")
-    unique = ranked.groupBy("v").agg(F.min("vec_id").alias("row"), F.count("*").alias("n"), F.max(asked).alias("asks"))
-    unique = stored(unique, "unique")
-    several = unique.where("n > 1").select("v", "row")
-    copies = stored(ranked.join(several, "v").select("row", "vec_id"), "copies")
+    wide = vectors.schema["embedding"].dataType.elementType.simpleString() != "float"
+    kept = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>" if wide else "array<float>").alias("embedding"))
+    valid = stored(mapped(kept, _valid(wide), "vec_id long, v binary, d1 long, d2 long"), "valid")
+    again = stored(valid.groupBy("vec_id").agg(F.min(F.struct("d1", "d2")).alias("d"), F.count("*").alias("n")).where("n > 1"), "again")
+    if again.limit(1).count():
+        one = valid.join(small(again), "vec_id", "left").where("n is null or (d1 = d.d1 and d2 = d.d2)").select("vec_id", "v", "d1", "d2")
+        valid, was = stored(one.dropDuplicates(["vec_id"]), "valid"), valid
+        dropped(was)
+    # one row for the vectors of a direction: its smallest id stands for it, and the k + 1 smallest can be in a result
+    ids = valid.select("d1", "d2", "vec_id")
+    groups = stored(ids.groupBy("d1", "d2").agg(F.min("vec_id").alias("row"), F.count("*").alias("n"), F.max(F.col("vec_id") % every == 0).alias("asks")), "groups")
+    several = stored(groups.where("n > 1").select("d1", "d2", F.col("row").alias("first")), "several")
+    copies = stored(ids.join(small(several), ["d1", "d2"]).select(F.col("first").alias("row"), "vec_id"), "copies")
     firsts = stored(_smallest(copies, k + 1), "firsts")
-    base = unique.select("row", "v", "asks")
-    count = unique.count()
-    target = int(max(candidates, share * count))
-    hashed = stored(base.mapInArrow(_hasher(dimension, trees, bits), "tree int, code long, row long, v binary, asks boolean"), "hashed")
-    bound = max(1, PART_BYTES // (8 * dimension))
-    parts, blocks = (max(1, -(-n // bound)) for n in (count, unique.where("asks").count()))
-
-    # an index row lies in one part of its tree and meets every block of queries, a query lies in one block and meets every part
-    def dealt(rows: DataFrame, query: bool) -> DataFrame:
-        every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        own = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
-        rows = rows.withColumn("part", every_one(parts) if query else own(parts)).withColumn("block", own(blocks) if query else every_one(blocks))
-        return rows.withColumn("index", F.lit(not query)).withColumn("query", F.lit(query))
-
-    both = dealt(hashed, False).unionByName(dealt(hashed.where("asks"), True))
-    counted = both.select("tree", "part", "block", "code", "row", "index", "query").groupBy("tree", "part", "block").applyInArrow(_counter(bits), "row long, counts array<long>")
-    lengths = counted.select("row", F.posexplode("counts").alias("level", "n")).groupBy("row", "level").agg(F.sum("n").alias("n"))
-    levels = stored(lengths.where((F.col("n") >= target) | (F.col("level") == 0)).groupBy("row").agg(F.max("level").alias("level")), "levels")
-    asking = dealt(hashed.where("asks").join(small(levels), "row"), True)
-    both = dealt(hashed, False).withColumn("level", F.lit(0)).unionByName(asking)
-    met = both.select("tree", "part", "block", "code", "row", "v", "level", "index", "query").groupBy("tree", "part", "block").applyInArrow(_searcher(dimension, bits, k), "query long, row long, score double")
-    met = met.groupBy("query", "row").agg(F.max("score").alias("score"))
-    # the best of all trees, then their exact scores
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "row"))
-    best = stored(met.withColumn("place", place).where(F.col("place") <= 2 * k + 4).select("query", "row"), "best")
-    pairs = best.join(unique.select(F.col("row").alias("query"), F.col("v").alias("qv")), "query").join(unique.select("row", "v"), "row")
-    scored = stored(pairs.mapInArrow(_cosines(dimension), "query long, row long, score double"), "scored")
-
-    # back from classes of equal vectors to ids
-    ids = firsts.groupBy("row").agg(F.collect_list("vec_id").alias("ids"))  # k + 1 at most
-    queries = ranked.where(asked).join(unique.select("v", "row"), "v").select(F.col("vec_id").alias("query_id"), F.col("row").alias("query"))
-    options = scored.join(ids, "row", "left").select("query", "score", F.explode(F.coalesce("ids", F.array("row"))).alias("vec_id"))
+    # a copy that isn't the first of its direction is no row of the index; one that asks gets its first's answer
+    named = valid.join(small(several), ["d1", "d2"], "left").where("first is null or first = vec_id")
+    asking = groups.where("asks").select("row")
+    unique = named.select(F.col("vec_id").alias("row"), "v", F.length("v").alias("bytes"))
+    unique = stored(unique.join(small(asking.withColumn("asks", F.lit(True))), "row", "left").select("row", "v", "bytes", F.coalesce("asks", F.lit(False)).alias("asks")), "unique")
+    dropped(valid)
+
+    sizes = stored(unique.groupBy("bytes").agg(F.count("*").alias("n"), F.count_if("asks").alias("asking")), "sizes")  # a row for each dimension
+    whole = F.col("n") * F.col("bytes")
+    parts = F.greatest(F.ceil(whole / PART_BYTES), F.least(F.ceil(whole / SMALL_BYTES), F.lit(SPREAD))).cast("int")
+    blocks = F.greatest(F.ceil(F.col("asking") * F.col("bytes") / PART_BYTES), F.lit(1)).cast("int")
+    sized = unique.join(F.broadcast(sizes.select("bytes", parts.alias("parts"), blocks.alias("blocks"))), "bytes")
+
+    def dealt(rows: DataFrame, query: bool, level: Column) -> DataFrame:
+        """An index row lies in one part and meets every block of queries, a query lies in one block and meets every part."""
+        every_one = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        own = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+        rows = rows.withColumn("part", every_one("parts") if query else own("parts")).withColumn("block", own("blocks") if query else every_one("blocks"))
+        return rows.select("bytes", "part", "block", "row", "v", level.alias("level"), F.lit(not query).alias("index"), F.lit(query).alias("query"))
+
+    def searched(asks: DataFrame, level: Column, name: str) -> DataFrame:
+        both = dealt(sized, False, F.lit(0).cast("long")).unionByName(dealt(asks, True, level))
+        met = both.groupBy("bytes", "part", "block").applyInArrow(_searcher(wide, trees, bits, k + 1, candidates), "query long, row long, score double")
+        return stored(_best(met, k + 1), name)  # the query itself is among them
+
+    asks = sized.where("asks")
+    first = searched(asks, F.lit(-1).cast("long"), "first")
+    bound = first.groupBy("query").agg(F.min("score").alias("score"), F.count("*").alias("n"))
+    bound = bound.select(F.col("query").alias("row"), F.when(F.col("n") > k, F.col("score")).otherwise(F.lit(-1.0)).alias("score"))  # too few found: the whole table
+    levels = stored(mapped(bound, _leveller(trees, bits, miss), "row long, level long"), "levels")
+    met = searched(asks.join(small(levels), "row"), F.col("level"), "met")
+    met = stored(_best(met.unionByName(first).groupBy("query", "row").agg(F.max("score").alias("score")), k + 1), "best")
+    pairs = met.select("query", "row").join(unique.select(F.col("row").alias("query"), F.col("v").alias("qv")), "query").join(unique.select("row", "v"), "row")
+    scored = stored(mapped(pairs.select("query", "row", "qv", "v"), _cosines(wide), "query long, row long, score double"), "scored")
+    dropped(unique, sizes, first, levels, met)
+
+    # back from directions to ids
+    of = firsts.groupBy("row").agg(F.collect_list("vec_id").alias("ids"))  # k + 1 at most
+    queries = groups.where("asks and n = 1").select(F.col("row").alias("query_id"), F.col("row").alias("query")).unionByName(copies.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("row").alias("query")))
+    options = scored.join(of, "row", "left").select("query", "score", F.explode(F.coalesce("ids", F.array("row"))).alias("vec_id"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
-    options = options.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
-    out = queries.join(options, "query").where("query_id <> vec_id")
+    options = stored(options.withColumn("place", place).where(F.col("place") <= k + 1).drop("place"), "options")
+    out = queries.join(small(options), "query").where("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _leveller(trees: int, bits: int, miss: float):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(level_for(b.column("score").to_numpy(), trees, bits, miss), pa.int64())], names=["row", "level"])
+
+    return run
+
+
 def _smallest(copies: DataFrame, n: int) -> DataFrame:
     """The n smallest ids of each class, through parts, so that no task sorts a whole large class."""
     part = F.pmod(F.xxhash64("vec_id"), F.lit(64))

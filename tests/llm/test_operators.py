@@ -284,6 +284,35 @@ def test_nearest_looks_at_a_share_of_any_table(spark, monkeypatch):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_nearest_ascends_as_far_as_it_needs():
+    """Near neighbours are found by long prefixes: less than a third of the rows is looked at, in both passes together."""
+    rng = np.random.default_rng(4)
+    x = hash_forest._units(np.repeat(rng.standard_normal((800, 64)), 10, axis=0) + 0.05 * rng.standard_normal((8000, 64)))
+    forest, y = hash_forest.Forest(x), x[::50]
+    asked = hash_forest.codes(y)
+    looked, found = 0, None
+    level = forest.first_levels(asked, hash_forest.FIRST)
+    for _ in range(2):
+        q, r, s, n = forest.best(y, asked, level, 6)
+        looked, found = looked + n, [set(r[q == i].tolist()) for i in range(len(y))]
+        level = hash_forest.level_for(np.array([s[q == i].min() for i in range(len(y))]))
+    assert looked < len(y) * len(x) / 3
+    hits = sum(len(found[i] & set(np.argsort(-(x @ y[i]))[:6].tolist())) for i in range(len(y)))
+    assert hits >= 0.95 * 6 * len(y)
+
+
+def test_nearest_ties_and_odd_tables(spark):
+    """More ties than k, scaled copies, other dimensions, clashing columns, int ids, ids with two vectors."""
+    rows = [(0, [1.0] + [0.0] * 40)] + [(i, [0.0] * i + [1.0] + [0.0] * (40 - i)) for i in range(40, 0, -1)] + [(100, [0.0, 3.0] + [0.0] * 39), (150, [2.0, 1.0]), (151, [1.0, 1.0]), (152, [1.0, 5.0]), (60, [1.0]), (60, [2.0, 1.0, 7.0])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id int, embedding array<double>, row string, score int")
+    got = {}
+    for r in hash_forest.nearest(df, candidates=10**9).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 6)))
+    assert got[0] == [(i, 0.0) for i in range(1, 6)]
+    assert got[100] == [(1, 1.0), (0, 0.0), (2, 0.0), (3, 0.0), (4, 0.0)]
+    assert [v for v, _ in got[150]] == [151, 152] and set(got) == {0, 100, 150}
+
+
 def test_short_quotes_link(spark):
     rows = [(1, 0, "u", "Shall we go?"), (1, 1, "a", "Yes."), (1, 2, "u", "Or by train"), (1, 3, "a", "> Yes.\nGood then"), (1, 4, "u", "是的"), (1, 5, "a", "later"), (1, 6, "u", "> 是的\nok"), (1, 7, "u", ">\n> \nok")]
     got = {r["turn"]: r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
