@@ -116,10 +116,13 @@ class Codec:
         self.older: dict[str, bytes] = {}
         self.packed = {p: np.array([i], dtype="<i4").tobytes() for p, i in vocabulary.ids.items()}
         self.inside = {p[i : i + 2] for p in vocabulary.ids for i in range(len(p) - 1)}
+        # lengths of the pieces that end with three characters (and of the shorter ones that may end there, too), longest first; of those that end with two or one
         ends: dict[str, set[int]] = {}
         for p in vocabulary.ids:
-            ends.setdefault(p[-2:], {1}).add(len(p))
+            if len(p) > 2:
+                ends.setdefault(p[-3:], {1, 2} if p[-2:] in vocabulary.ids else {1}).add(len(p))
         self.sizes = {e: tuple(sorted(n, reverse=True)) for e, n in ends.items()}
+        self.pairs = {p: (2, 1) for p in vocabulary.ids if len(p) == 2}
         self.crossing = any(MARK in p.lstrip(MARK) for p in vocabulary.ids)
         self.floor = min(vocabulary.scores.values(), default=0.0) - 10.0
         self.out = [b""] * (max([*vocabulary.text, *vocabulary.bytes_, vocabulary.unknown, 0]) + 1)
@@ -159,7 +162,7 @@ class Codec:
 
     def stream(self, chunks: Iterable[str]) -> Iterator[str]:
         """Pieces in order; each is given out as soon as no later character can change it. `widest` keeps the largest window."""
-        ids, scores, longest, sizes, pair = self.v.ids, self.v.scores, self.longest, self.sizes, self.pair
+        ids, scores, longest, sizes, pairs, pair = self.v.ids, self.v.scores, self.longest, self.sizes, self.pairs, self.pair
         bpe = self.v.kind == BPE
         window, n, due = "", 0, 2 * longest  # what isn't committed, how much of it is read, and when to look for a convergence
         last: list[str | None] = [""]  # the piece that ends at each boundary of the window (of its begin: what was committed before); None where none can
@@ -170,7 +173,7 @@ class Codec:
                 for n in range(n + 1, min(len(window), due) + 1):
                     best, top = None, 0.0
                     if bpe:
-                        for size in sizes.get(window[n - 2 : n] if n > 1 else window[:1], (1,)):
+                        for size in (sizes.get(window[n - 3 : n]) if n > 2 else None) or (pairs.get(window[n - 2 : n], (1,)) if n > 1 else (1,)):
                             if size > n or (before := last[n - size]) is None:
                                 continue
                             piece = window[n - size : n]
@@ -284,10 +287,14 @@ class Codec:
 
     def decode(self, ids) -> str:
         """The text of ids: pieces joined, byte pieces as UTF-8, the prefix space taken off."""
-        out = self.out
-        text = b"".join([out[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.v.prefix and text[:1] == " " else text
 
+    def restores(self, ids: np.ndarray, text: str) -> bool:
+        """Whether decoding gives the text back: by its bytes, and where they differ by the text itself."""
+        raw = b"".join(map(self.out.__getitem__, ids.tolist()))
+        return raw == (b" " if self.v.prefix and text else b"") + text.encode("utf-8", "surrogatepass") or self.decode(ids.tolist()) == text
+
 
 def _encoder(v: Vocabulary, digests: bool):
     def run(batches):
@@ -297,7 +304,7 @@ def _encoder(v: Vocabulary, digests: bool):
                 texts = [t or "" for t in b.column("text").to_pylist()]
                 ids = [codec.encode(t) for t in texts]
                 counts = pa.array([len(x) for x in ids], pa.int64())
-                same = pa.array([codec.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)])
+                same = pa.array([codec.restores(x, t) for x, t in zip(ids, texts, strict=True)])
                 if digests:
                     yield pa.RecordBatch.from_arrays([b.column("doc_id"), counts, pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()), same], names=["doc_id", "n_tokens", "ids_sha256", "round_trip"])
                 else:
