@@ -18,7 +18,9 @@ Which piece may end at a position depends on the model's kind:
 A boundary that no piece of the vocabulary can cross (before a space mark, after
 another character) is a convergence for every text, so the stream may be started
 anew there. In front of it stands a bounded table of the short stretches between
-such boundaries that a task has met, as words repeat; it only saves time.
+such boundaries that a task has met, as words repeat; and a stream may begin with
+the lattice that another has made of the same first characters. Both only save
+time.
 """
 
 from __future__ import annotations
@@ -107,16 +109,24 @@ def load(path: str = MODEL) -> Vocabulary:
 
 
 class Codec:
+    """Encoder and decoder of a vocabulary. Inside, pieces go by their number in `names`; characters of no piece get one when they are met."""
+
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.longest = vocabulary.longest
         self.widest = 0
-        self.pair: dict[tuple[str, str], bool] = {}
+        self.names = list(vocabulary.ids)
+        self.number = {p: i for i, p in enumerate(self.names)}
+        self.length = [len(p) for p in self.names]
+        self.packed = [np.array([i], dtype="<i4").tobytes() for i in vocabulary.ids.values()]
+        self.scores = [vocabulary.scores[p] for p in self.names]
+        self.floor = min(vocabulary.scores.values(), default=0.0) - 10.0
+        self.apart: set[int] = set()  # pairs of pieces that stay side by side, and those that don't
+        self.merge: set[int] = set()
         self.memory: dict[str, bytes] = {}  # of the last stretches, and of those before them
         self.older: dict[str, bytes] = {}
-        self.packed = {p: np.array([i], dtype="<i4").tobytes() for p, i in vocabulary.ids.items()}
         self.inside = {p[i : i + 2] for p in vocabulary.ids for i in range(len(p) - 1)}
-        # lengths of the pieces that end with three characters (and of the shorter ones that may end there, too), longest first; of those that end with two or one
+        # lengths of the pieces that end with three characters (and of the shorter ones that may end there, too), longest first; of those that end with two
         ends: dict[str, set[int]] = {}
         for p in vocabulary.ids:
             if len(p) > 2:
@@ -124,7 +134,6 @@ class Codec:
         self.sizes = {e: tuple(sorted(n, reverse=True)) for e, n in ends.items()}
         self.pairs = {p: (2, 1) for p in vocabulary.ids if len(p) == 2}
         self.crossing = any(MARK in p.lstrip(MARK) for p in vocabulary.ids)
-        self.floor = min(vocabulary.scores.values(), default=0.0) - 10.0
         self.out = [b""] * (max([*vocabulary.text, *vocabulary.bytes_, vocabulary.unknown, 0]) + 1)
         for i, p in vocabulary.text.items():
             self.out[i] = p.replace(MARK, " ").encode("utf-8", "surrogatepass")
@@ -132,20 +141,28 @@ class Codec:
             self.out[i] = bytes([b])
         self.out[vocabulary.unknown] = " ⁇ ".encode()
 
-    def neighbours(self, a: str, b: str) -> bool:
-        """Whether the merge order leaves `a` and `b` side by side as they are.
-
-        The two are undone step by step, the later merge first; where the parts that
-        then touch would have merged before that step, they don't stay apart.
-        """
-        ok = self.pair.get((a, b))
-        if ok is None:
-            if len(self.pair) > REMEMBERED:
-                self.pair.clear()
-            ok = self.pair[a, b] = self._apart(a, b)
+    def _met(self, c: str) -> int:
+        """A number for a character that is no piece: bytes, or the unknown id."""
+        raw = c.encode("utf-8", "surrogatepass")
+        ids = [self.v.bytes_[b] for b in raw] if self.v.bytes_ else [self.v.unknown]
+        self.number[c] = len(self.names)
+        self.names.append(c)
+        self.length.append(1)
+        self.packed.append(np.array(ids, dtype="<i4").tobytes())
+        self.scores.append(self.floor)
+        return self.number[c]
+
+    def _stay(self, key: int) -> bool:
+        """Whether the merge order leaves two pieces side by side as they are, remembered."""
+        if len(self.apart) + len(self.merge) > REMEMBERED:
+            self.apart.clear()
+            self.merge.clear()
+        ok = self._side_by_side(self.names[key >> 32], self.names[key & 0xFFFFFFFF])
+        (self.apart if ok else self.merge).add(key)
         return ok
 
-    def _apart(self, a: str, b: str) -> bool:
+    def _side_by_side(self, a: str, b: str) -> bool:
+        """The two are undone step by step, the later merge first; where the parts that then touch would have merged before that step, they don't stay apart."""
         rank, halves, never = self.v.rank, self.v.halves, 1 << 60
         limit = never
         while True:
@@ -162,10 +179,20 @@ class Codec:
 
     def stream(self, chunks: Iterable[str]) -> Iterator[str]:
         """Pieces in order; each is given out as soon as no later character can change it. `widest` keeps the largest window."""
-        ids, scores, longest, sizes, pairs, pair = self.v.ids, self.v.scores, self.longest, self.sizes, self.pairs, self.pair
-        bpe = self.v.kind == BPE
-        window, n, due = "", 0, 2 * longest  # what isn't committed, how much of it is read, and when to look for a convergence
-        last: list[str | None] = [""]  # the piece that ends at each boundary of the window (of its begin: what was committed before); None where none can
+        for some in self.committed(chunks):
+            for i in some:
+                yield self.names[i]
+
+    def committed(self, chunks: Iterable[str], begun: tuple[str, list[int | None]] | None = None) -> Iterator[list[int]]:
+        """The stream: the numbers of pieces, as many at a time as are decided.
+
+        begun (BPE): characters read before, none of them committed, and their lattice, which is carried on in place.
+        """
+        number, length, scores, longest, sizes, pairs = self.number, self.length, self.scores, self.longest, self.sizes, self.pairs
+        apart, merge, one, bpe = self.apart, self.merge, (1,), self.v.kind == BPE
+        # what isn't committed, and the piece that ends at each boundary of it (of its begin: what was committed before, -1 for none; None where none can)
+        window, last = begun or ("", [-1])
+        n, due = len(window), 2 * longest  # how much of it is read, and when to look for a convergence
         sums = [0.0]  # unigram: the best sum up to there
         for chunk in chunks:
             window += chunk
@@ -173,21 +200,27 @@ class Codec:
                 for n in range(n + 1, min(len(window), due) + 1):
                     best, top = None, 0.0
                     if bpe:
-                        for size in (sizes.get(window[n - 3 : n]) if n > 2 else None) or (pairs.get(window[n - 2 : n], (1,)) if n > 1 else (1,)):
-                            if size > n or (before := last[n - size]) is None:
+                        for size in (n > 2 and sizes.get(window[n - 3 : n])) or (n > 1 and pairs.get(window[n - 2 : n])) or one:
+                            if size > n:
                                 continue
-                            piece = window[n - size : n]
-                            if size > 1 and piece not in ids:
+                            piece = number.get(window[n - size : n])
+                            if piece is None:
+                                if size > 1:
+                                    continue
+                                piece = self._met(window[n - 1])
+                            before = last[n - size]
+                            if before is None:
                                 continue
-                            if not before or (ok := pair.get((before, piece))) or (ok is None and self.neighbours(before, piece)):
+                            if before < 0 or (key := before << 32 | piece) in apart or (key not in merge and self._stay(key)):
                                 best = piece
                                 break
                     else:
                         for size in range(min(longest, n), 0, -1):
-                            piece = window[n - size : n]
-                            if last[n - size] is None or (size > 1 and piece not in ids):
+                            piece = number.get(window[n - size : n])
+                            if last[n - size] is None or (piece is None and size > 1):
                                 continue
-                            s = sums[n - size] + scores.get(piece, self.floor)
+                            piece = self._met(window[n - 1]) if piece is None else piece
+                            s = sums[n - size] + scores[piece]
                             if best is None or s > top:
                                 best, top = piece, s
                         sums.append(top)
@@ -195,15 +228,14 @@ class Codec:
                 if n >= due:
                     self.widest = max(self.widest, n)
                     if to := self._meeting(last, n, longest):
-                        yield from self._path(last, to)
+                        yield self._path(last, to)
                         last, window, n = last[to:], window[to:], n - to
                         sums = sums[to:]
                     due = max(2 * longest, n + longest)
         self.widest = max(self.widest, n)
-        yield from self._path(last, n)
+        yield self._path(last, n)
 
-    @staticmethod
-    def _meeting(last: list[str | None], n: int, longest: int) -> int:
+    def _meeting(self, last: list[int | None], n: int, longest: int) -> int:
         """The last boundary that the paths of all boundaries a later piece can begin at run through; 0 if there is none."""
         paths: set[int] | None = None
         for at in range(n - longest + 1, n + 1):
@@ -211,24 +243,33 @@ class Codec:
                 own = set()
                 while at:
                     own.add(at)
-                    at -= len(last[at])
+                    at -= self.length[last[at]]
                 paths = own if paths is None else paths & own
         return max(paths, default=0) if paths else 0
 
-    @staticmethod
-    def _path(last: list[str | None], to: int) -> list[str]:
+    def _path(self, last: list[int | None], to: int) -> list[int]:
         out = []
         while to:
-            out.append(last[to])
-            to -= len(last[to])
+            i = last[to]
+            out.append(i)
+            to -= self.length[i]
         return out[::-1]
 
-    def ids_of(self, piece: str) -> list[int]:
-        i = self.v.ids.get(piece)
-        if i is not None:
-            return [i]
-        raw = piece.encode("utf-8", "surrogatepass")
-        return [self.v.bytes_[b] for b in raw] if self.v.bytes_ else [self.v.unknown]
+    def learn(self, stretches: Iterable[str]) -> None:
+        """Put stretches into the table, in an order in which each begins as the one before, so that their lattices share a stem."""
+        if self.v.kind != BPE:
+            return
+        memory, older = self.memory, self.older
+        parts = {p for s in stretches if s not in memory and s not in older and len(s) <= REMEMBERED_CHARS for p in self._parts(s)}
+        stem, last, packed = "", [-1], self.packed
+        for part in sorted(p for p in parts if p not in memory and p not in older and len(p) < 2 * self.longest):  # none long enough to commit
+            k, most = 0, min(len(stem), len(part))
+            while k < most and stem[k] == part[k]:
+                k += 1
+            del last[k + 1 :]
+            (found,) = self.committed((part[k:],), (part[:k], last))
+            self._kept(part, b"".join([packed[i] for i in found]))
+            stem = part
 
     def _of(self, stretch: str) -> bytes:
         """The ids of a stretch whose ends no piece crosses: from the table, or streamed in parts."""
@@ -239,7 +280,7 @@ class Codec:
 
     def _part(self, part: str) -> bytes:
         chunks = (part,) if len(part) <= CHUNK else (part[i : i + CHUNK] for i in range(0, len(part), CHUNK))
-        return self._kept(part, self.older.get(part) or b"".join([self.packed.get(p) or self._packed(p) for p in self.stream(chunks)]))
+        return self._kept(part, self.older.get(part) or b"".join([self.packed[i] for some in self.committed(chunks) for i in some]))
 
     def _kept(self, stretch: str, known: bytes) -> bytes:
         if len(stretch) <= REMEMBERED_CHARS:
@@ -250,6 +291,8 @@ class Codec:
 
     def _parts(self, stretch: str) -> list[str]:
         """The stretch cut wherever no piece holds the two characters side by side."""
+        if stretch.lstrip(MARK).isalpha():
+            return [stretch]  # most words; a cut inside one would only save time
         inside, out, at = self.inside, [], 0
         for i in range(1, len(stretch)):
             if stretch[i - 1 : i + 1] not in inside:
@@ -258,32 +301,43 @@ class Codec:
         out.append(stretch[at:])
         return out
 
-    def _packed(self, piece: str) -> bytes:
-        return np.array(self.ids_of(piece), dtype="<i4").tobytes()
-
-    def encode(self, text: str) -> np.ndarray:
-        """Token ids; an empty text has none."""
+    def stretches(self, text: str) -> list[str]:
+        """What a text is cut into before space marks; marks in a row belong to the word that follows."""
         if not text:
-            return np.zeros(0, dtype="<i4")
+            return []
         text = (" " if self.v.prefix else "") + text
         text = text.replace(" ", MARK)
         if self.crossing:
-            return np.frombuffer(self._of(text), dtype="<i4")
+            return [text]
+        head, *words = text.split(MARK)
+        if "" not in words:
+            out = [MARK + w for w in words]
+        else:
+            out, marks = [], MARK
+            for w in words:
+                if w:
+                    out.append(marks + w)
+                    marks = MARK
+                else:
+                    marks += MARK
+            if not words[-1]:
+                out.append(marks[:-1])  # the text's end
+        return [head, *out] if head else out
+
+    def encode(self, text: str) -> np.ndarray:
+        """Token ids; an empty text has none."""
+        get = self.memory.get
+        return np.frombuffer(b"".join([get(w) or self._of(w) for w in self.stretches(text)]), dtype="<i4")
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text."""
+        cut = [self.stretches(t) for t in texts]
+        self.learn(set().union(*cut))
         out = []
-        stretches = iter(text.split(MARK))
-        if head := next(stretches):  # without a prefix mark
-            out.append(self._of(head))
-        marks = MARK
-        for w in stretches:
-            if not w:  # marks in a row belong to the word that follows
-                marks += MARK
-                continue
-            w = marks + w
-            out.append(self.memory.get(w) or self._of(w))
-            marks = MARK
-        if len(marks) > 1 or text[-1] == MARK:
-            out.append(self._of(marks if text[-1] != MARK else MARK * (len(text) - len(text.rstrip(MARK)))))
-        return np.frombuffer(b"".join(out), dtype="<i4")
+        for words in cut:
+            get = self.memory.get
+            out.append(np.frombuffer(b"".join([get(w) or self._of(w) for w in words]), dtype="<i4"))
+        return out
 
     def decode(self, ids) -> str:
         """The text of ids: pieces joined, byte pieces as UTF-8, the prefix space taken off."""
@@ -302,7 +356,7 @@ def _encoder(v: Vocabulary, digests: bool):
         for whole in batches:
             for b in textkit.slices(whole, "text"):
                 texts = [t or "" for t in b.column("text").to_pylist()]
-                ids = [codec.encode(t) for t in texts]
+                ids = codec.encode_all(texts)
                 counts = pa.array([len(x) for x in ids], pa.int64())
                 same = pa.array([codec.restores(x, t) for x, t in zip(ids, texts, strict=True)])
                 if digests:
