@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
-from ..sources.tables import stored
+from ..sources.tables import clustered, deleted, new_path, stored
 from . import paths as walk
 from .resolve import resolve_linktargets, resolve_links, title_index
 
@@ -30,14 +31,32 @@ class LinkGraph:
 
     @classmethod
     def build(cls, pages: DataFrame, linktargets: DataFrame, pagelinks: DataFrame, multigraph: bool = False) -> LinkGraph:
-        """Resolve dump tables into a graph and store its edges, clustered by source; repeated links count once unless multigraph."""
+        """Resolve dump tables into a graph and store its edges in buckets of their source; repeated links count once unless multigraph."""
         index = title_index(pages)
         edges = resolve_links(pagelinks, pages, resolve_linktargets(linktargets, index))
         return cls(pages.select("page_id", "page_title", "page_is_redirect"), edges if multigraph else edges.distinct()).stored()
 
     def stored(self) -> LinkGraph:
-        """The same graph with its edges in the shared folder, partitioned and sorted by source, so that searches prune row groups."""
-        return LinkGraph(self.nodes, stored(self.edges.repartition("src").sortWithinPartitions("src"), "edges"))
+        """The same graph with its edges in the shared folder, in buckets of their source and sorted by it: searches prune by literal sources and never move an edge."""
+        return LinkGraph(self.nodes, clustered(self.edges, "src", new_path(self.spark, "edges")))
+
+    def save(self, path: str) -> LinkGraph:
+        """Keep the graph in a folder of its own; `open` reads it again. An existing folder is replaced."""
+        path = path.rstrip("/")
+        deleted(self.spark, path)
+        self.nodes.write.parquet(f"{path}/nodes")
+        edges = clustered(self.edges, "src", f"{path}/edges")
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/form")
+        return LinkGraph(self.spark.read.schema(self.nodes.schema).parquet(f"{path}/nodes"), edges)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> LinkGraph:
+        """A graph that `save` has kept, its edges in their buckets."""
+        path = path.rstrip("/")
+        buckets, name = spark.read.parquet(f"{path}/form").first()["buckets"], f"hopweave_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE TABLE {name} (src BIGINT, dst BIGINT) USING parquet CLUSTERED BY (src) SORTED BY (src) INTO {buckets} BUCKETS LOCATION '{path}/edges'")
+        return cls(spark.read.parquet(f"{path}/nodes"), spark.table(name))
 
     @property
     def spark(self) -> SparkSession:

@@ -59,12 +59,13 @@ def bfs_distances(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shortest_distance(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d, "e_sparse").count_shortest_paths(START, END).select("distance")
+    found = _graph(spark, d, "e_sparse").bfs(START, END).found
+    return spark.createDataFrame([] if found is None else [(found,)], "distance int")
 
 
 def dag(spark: SparkSession, d: str) -> DataFrame:
     g = _graph(spark, d, "e_sparse")
-    return shortest_path_dag(g.edges, g.bfs(START).dist)
+    return shortest_path_dag(g.edges, g.bfs(START))
 
 
 def path_unreachable(spark: SparkSession, d: str) -> DataFrame:
@@ -72,6 +73,19 @@ def path_unreachable(spark: SparkSession, d: str) -> DataFrame:
     return _graph(spark, d, "e_sparse").all_shortest_paths(START, -1).agg(F.count("*").alias("n_paths"))
 
 
+def path_unreachable_part(spark: SparkSession, d: str) -> DataFrame:
+    """The first part that can't be reached, and the paths to it."""
+    g = _graph(spark, d, "e_sparse")
+    layers = g.bfs(START)
+    target = g.nodes.join(layers.dist, F.col("page_id") == F.col("node"), "left_anti").agg(F.min("page_id")).first()[0]
+    layers.drop()
+    return g.all_shortest_paths(START, target).agg(F.count("*").alias("n_paths")).select(F.lit(target).cast("long").alias("target"), "n_paths")
+
+
+def count_paths(spark: SparkSession, d: str) -> DataFrame:
+    return _graph(spark, d, "e_dense").count_shortest_paths(START, END).select("distance", F.col("n_paths").cast("long").alias("n_paths"))
+
+
 def stats_rows(spark: SparkSession) -> DataFrame:
     return wikis.stats(spark.createDataFrame([(x,) for x in inline.STATS], "value string"))
 
@@ -93,10 +107,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "all_shortest_paths": lambda s, d: _as_text(_graph(s, d, "e_dense").all_shortest_paths(START, END)),
     "all_shortest_paths_multi": lambda s, d: _as_text(_graph(s, d, "e_dense_multi").all_shortest_paths(START, END)),
     "all_shortest_paths_sparse": lambda s, d: _as_text(_graph(s, d, "e_sparse").all_shortest_paths(START, END)),
-    "count_shortest_paths": lambda s, d: _graph(s, d, "e_dense").count_shortest_paths(START, END),
+    "count_shortest_paths": count_paths,
     "path_text": path_text,
     "path_same_node": lambda s, d: _as_text(_graph(s, d, "e_sparse").all_shortest_paths(START, START)),
     "path_unreachable": path_unreachable,
+    "path_unreachable_part": path_unreachable_part,
     "search_by_title": lambda s, d: _resolved(s, d).search(FROM_TITLE, TO_TITLE).select("path_text"),
     "bfs_distances": bfs_distances,
     "reachable_nodes": lambda s, d: bfs_distances(s, d).select("node"),
@@ -192,6 +207,7 @@ ORACLES: dict[str, str] = {
     "path_same_node": f"SELECT '{START}' AS path_text",
     "path_unreachable": _searched("e_sparse", "SELECT count(*) AS n_paths FROM dist WHERE node = -1"),
     "search_by_title": _with("d_page", "d_linktarget", "d_pagelinks", more=_ARTICLES + ",\nedges AS (SELECT DISTINCT src, dst FROM links),\n" + _search("edges", f"(SELECT page_id FROM ti WHERE page_title = '{FROM_TITLE.strip()}')"), recursive=True) + _TITLED.format(nodes="page", edges="edges", end=f"(SELECT page_id FROM ti WHERE page_title = '{TO_TITLE}')"),
+    "path_unreachable_part": _with("n_part", "e_sparse", more=_search("e_sparse", f"CAST({START} AS BIGINT)"), recursive=True) + "SELECT min(page_id) AS target, CAST(0 AS BIGINT) AS n_paths FROM n_part WHERE page_id NOT IN (SELECT node FROM dist)",
     "bfs_distances": _searched("e_sparse", "SELECT node, CAST(dist AS INTEGER) AS dist FROM dist"),
     "reachable_nodes": _searched("e_sparse", "SELECT node FROM dist"),
     "bfs_layers": _searched("e_sparse", "SELECT CAST(dist AS INTEGER) AS dist, count(*) AS layer_size, CAST(sum(count(*)) OVER (ORDER BY dist) AS BIGINT) AS explored FROM dist GROUP BY dist"),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from hopweave.operators import paths as walk
 from hopweave.operators.graph import BlankTitle, LinkGraph, UnknownTitle
 from hopweave.operators.paths import bfs_layers, path_titles, shortest_path_dag
 from hopweave.plans.fixtures import view
@@ -70,7 +72,7 @@ def test_layers_and_paths_hold_together(spark, sf_dir):
     assert [r["explored"] for r in bfs_layers(layers, spark).orderBy("dist").collect()][-1] == 188
     edges = {tuple(r) for r in g.edges.collect()}
     dist = {r["node"]: r["dist"] for r in layers.dist.collect()}
-    assert all(dist[b] == dist[a] + 1 for a, b, _ in shortest_path_dag(g.edges, layers.dist).collect())
+    assert all(dist[b] == dist[a] + 1 for a, b, _ in shortest_path_dag(g.edges, layers).collect())
     paths = [tuple(r["path"]) for r in g.all_shortest_paths(0, 77).collect()]
     assert paths and len(set(paths)) == len(paths) and all(len(p) - 1 == dist[77] and all(e in edges for e in zip(p, p[1:], strict=False)) for p in paths)
 
@@ -79,3 +81,36 @@ def test_titles_keep_order_of_a_repeated_path(spark):
     g = graph(spark, [(1, 2), (1, 2), (2, 3)])
     rows = path_titles(g.all_shortest_paths(1, 3), g.nodes).collect()
     assert [r["titles"] for r in rows] == [["N1", "N2", "N3"]] * 2
+
+
+def test_counts_beyond_a_long(spark):
+    """A chain of 16 diamonds with 16 middles each has 2^64 paths."""
+    edges = [e for k in range(16) for m in range(1, 17) for e in ((17 * k, 17 * k + m), (17 * k + m, 17 * k + 17))]
+    row = graph(spark, edges).count_shortest_paths(0, 272).first()
+    assert row["distance"] == 32 and int(row["n_paths"]) == 2**64
+
+
+@pytest.mark.parametrize("most", [0, 500])
+def test_frontiers_as_lists_and_as_tables(spark, sf_dir, monkeypatch, most):
+    monkeypatch.setattr(walk, "LITERALS", most)
+    g = LinkGraph(view(spark, sf_dir, "n_part"), view(spark, sf_dir, "e_dense")).stored()
+    assert g.count_shortest_paths(0, 77).first()["n_paths"] == g.all_shortest_paths(0, 77).count() == 4
+
+
+def test_edges_stay_in_their_buckets(spark, sf_dir):
+    """A layer's plan moves no edge, and prunes by literal sources."""
+    g = LinkGraph(view(spark, sf_dir, "n_part"), view(spark, sf_dir, "e_dense")).stored()
+    frontier = g.nodes.select(F.col("page_id").alias("node")).hint("merge")
+    plan = g.edges.join(frontier, F.col("src") == F.col("node"), "left_semi")._jdf.queryExecution().executedPlan().toString()
+    scan = plan[: plan.index("Scan parquet spark_catalog")]
+    assert "SortMergeJoin" in plan and scan.count("Exchange") == 0
+    pruned = walk._touching(g.edges, "src", spark.createDataFrame([(3,)], "node long"), 1)._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount: 1 out of 4" in pruned and "In(src" in pruned or "EqualTo(src" in pruned
+
+
+def test_saved_graphs_open_again(spark, tmp_path):
+    g = graph(spark, [(1, 2), (2, 3), (1, 3)])
+    g.save(str(tmp_path / "g"))
+    again = LinkGraph.open(spark, str(tmp_path / "g"))
+    assert again.counts().first().asDict() == {"n_nodes": 3, "n_links": 3}
+    assert [r["path"] for r in again.all_shortest_paths(1, 3).collect()] == [[1, 3]]
