@@ -79,3 +79,22 @@ def entities_decoded(text: Column) -> Column:
 
 def joined_titles(titles: Column) -> Column:
     return F.array_join(titles, SEPARATOR)
+
+
+def thousands(n: Column) -> Column:
+    """A whole number with a comma for every three digits."""
+    return F.format_number(n, 0)
+
+
+def megabytes(n: Column) -> Column:
+    """Bytes as units of 2^20 with two decimals."""
+    return F.format_string("%.2f MB", n.cast("double") / (1 << 20))
+
+
+def ratio(part: Column, whole: Column) -> Column:
+    """part / whole as a double; 0 where the whole is 0, less, or null."""
+    return F.when(whole > 0, part.cast("double") / whole.cast("double")).otherwise(F.lit(0.0))
+
+
+def percent(share: Column, decimals: int = 1) -> Column:
+    return F.format_string(f"%.{decimals}f%%", share * 100)

@@ -30,11 +30,16 @@ class LinkGraph:
     edges: DataFrame
 
     @classmethod
-    def build(cls, pages: DataFrame, linktargets: DataFrame, pagelinks: DataFrame, multigraph: bool = False) -> LinkGraph:
-        """Resolve dump tables into a graph and store its edges in buckets of their source; repeated links count once unless multigraph."""
+    def resolved(cls, pages: DataFrame, linktargets: DataFrame, pagelinks: DataFrame, multigraph: bool = False) -> LinkGraph:
+        """Resolve dump tables into a graph; repeated links count once unless multigraph. Nothing is stored yet."""
         index = title_index(pages)
         edges = resolve_links(pagelinks, pages, resolve_linktargets(linktargets, index))
-        return cls(pages.select("page_id", "page_title", "page_is_redirect"), edges if multigraph else edges.distinct()).stored()
+        return cls(pages.select("page_id", "page_title", "page_is_redirect"), edges if multigraph else edges.distinct())
+
+    @classmethod
+    def build(cls, pages: DataFrame, linktargets: DataFrame, pagelinks: DataFrame, multigraph: bool = False) -> LinkGraph:
+        """The same, with its edges stored in buckets of their source."""
+        return cls.resolved(pages, linktargets, pagelinks, multigraph).stored()
 
     def stored(self) -> LinkGraph:
         """The same graph with its edges in the shared folder, in buckets of their source and sorted by it: searches prune by literal sources and never move an edge."""

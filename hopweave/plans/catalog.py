@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import joined_titles, spaced
+from ..functions.text import joined_titles, megabytes, percent, ratio, spaced, thousands
 from ..operators import resolve
 from ..operators.graph import LinkGraph
 from ..operators.paths import bfs_layers, path_titles, shortest_path_dag
 from ..sources import wikis
-from . import inline
+from . import inline, written
 from .fixtures import oracle, view
 
 #: The nodes and titles that graph queries start and end at.
@@ -94,6 +94,19 @@ def downloaded_rows(spark: SparkSession) -> DataFrame:
     return wikis.downloaded(spark.createDataFrame(inline.FILES, "file_name string, file_size long"))
 
 
+def catalog_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes as they are shown, in units of 100,000 bytes so that they differ, and the share of the page file."""
+    rows = downloaded_rows(spark).withColumn("bytes", F.col("size_on_disk") * 100_000)
+    return rows.select("language_code", "date", thousands(F.col("bytes")).alias("bytes"), megabytes(F.col("bytes")).alias("megabytes"), percent(ratio(F.col("page_size"), F.col("size_on_disk"))).alias("page_share"), ratio(F.col("page_size"), F.lit(0)).alias("of_nothing"))
+
+
+def bfs_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Each layer's share of what was explored so far, and of the whole graph."""
+    g = _graph(spark, d, "e_sparse")
+    layers = bfs_layers(g.bfs(START), spark).crossJoin(g.nodes.agg(F.count("*").alias("n")))  # one row beside a handful
+    return layers.select("dist", percent(ratio(F.col("layer_size"), F.col("explored"))).alias("layer_share"), F.round(ratio(F.col("explored"), F.col("n")), 6).alias("graph_share"))
+
+
 def adjacency(spark: SparkSession, d: str) -> DataFrame:
     return LinkGraph(view(spark, d, "n_part"), view(spark, d, "e_dense")).adjacency().select("page_id", F.array_join(F.col("dsts").cast("array<string>"), ",").alias("dsts"))
 
@@ -136,6 +149,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "catalog_stats": lambda s, d: stats_rows(s),
     "catalog_downloaded": lambda s, d: downloaded_rows(s),
     "catalog_list": lambda s, d: wikis.catalog(downloaded_rows(s), stats_rows(s)),
+    "catalog_sizes": catalog_sizes,
+    "bfs_progress": bfs_progress,
+    "dump_page": written.page,
+    "dump_page_compat": lambda s, d: written.page(s, d, "compat"),
+    "dump_linktarget": written.linktarget,
+    "dump_pagelinks": written.pagelinks,
     "dump_urls": lambda s, d: wikis.dump_urls(s.createDataFrame(inline.FEEDS, "wiki_prefix string, rss string")),
 }
 
@@ -235,5 +254,10 @@ ORACLES: dict[str, str] = {
 {_FILES}
 SELECT h.language_code, coalesce(s.language_name, '') || ' (' || date || ')' AS language_name, coalesce(s.local_language_name, '') AS local_language_name, true AS is_downloaded FROM here h LEFT JOIN stats s USING (language_code)
 UNION ALL SELECT language_code, language_name, local_language_name, is_downloaded FROM stats""",
+    "catalog_sizes": f"""WITH {_FILES} SELECT language_code, date, format('{{:,}}', size_on_disk * 100000) AS bytes, printf('%.2f MB', size_on_disk * 100000 / 1048576.0) AS megabytes, printf('%.1f%%', 100.0 * page_size / size_on_disk) AS page_share, CAST(0 AS DOUBLE) AS of_nothing FROM here""",
+    "bfs_progress": _with("e_sparse", "n_part", more=_search("e_sparse", f"CAST({START} AS BIGINT)"), recursive=True) + """SELECT CAST(dist AS INTEGER) AS dist, printf('%.1f%%', 100.0 * n / s) AS layer_share, round(CAST(s AS DOUBLE) / (SELECT count(*) FROM n_part), 6) AS graph_share
+  FROM (SELECT dist, count(*) AS n, sum(count(*)) OVER (ORDER BY dist) AS s FROM dist GROUP BY dist) x""",
+    **written.ORACLES,
+    "dump_pagelinks": _with("e_dense") + "SELECT src AS pl_from, 0 AS pl_from_namespace, dst + 1000000 AS pl_target_id FROM e_dense WHERE src % 17 = 0 AND src % 101 <> 7",
     "dump_urls": f"""SELECT wiki_prefix, date, {_url('page')}, {_url('pagelinks')}, {_url('linktarget')} FROM (SELECT wiki_prefix, regexp_extract(regexp_extract(rss, '<link>([^<]+)</link>', 1), '[^/]*$') AS date FROM (VALUES {_values(inline.FEEDS)}) v(wiki_prefix, rss)) x""",
 }

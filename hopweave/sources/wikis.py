@@ -81,8 +81,13 @@ def catalog(here: DataFrame, online: DataFrame | None) -> DataFrame:
 
 
 def dump_urls(feeds: DataFrame) -> DataFrame:
-    """(wiki_prefix, rss) -> wiki_prefix, date and the three addresses of the dump that the feed's first link names."""
-    date = F.substring_index(F.regexp_extract("rss", "<link>([^<]+)</link>", 1), "/", -1)
+    """(wiki_prefix, rss) -> wiki_prefix, date and the three addresses of the dump that the feed's first link names.
+
+    A feed without a link has no addresses: reading its row raises.
+    """
+    link = F.regexp_extract(F.coalesce("rss", F.lit("")), "<link>([^<]+)</link>", 1)
+    missing = F.raise_error(F.concat(F.lit("no download address in the feed of "), F.coalesce("wiki_prefix", F.lit("an unnamed wiki"))))
+    date = F.when(link == "", missing.cast("string")).otherwise(F.substring_index(link, "/", -1))
     dated = feeds.select("wiki_prefix", date.alias("date"))
     address = lambda t: F.format_string(DUMP_URL.format(t), "wiki_prefix", "date", "wiki_prefix", "date").alias(f"{t}_url")
     return dated.select("wiki_prefix", "date", *[address(t) for t in ("page", "pagelinks", "linktarget")])

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from hopweave.functions import text as tx
+from hopweave.operators.graph import LinkGraph
+from hopweave.operators.load import MissingDump, load, searched
 from hopweave.plans import inline
 from hopweave.sources import dumps, wikis
 from hopweave.streaming import dumps as streamed
@@ -74,6 +76,29 @@ def test_scalars(spark):
     assert tuple(row) == ("a b", None, None, 12, None, True, False, "a b")
 
 
+def test_feed_without_an_address(spark):
+    feeds = spark.createDataFrame([("en", "<rss></rss>")], "wiki_prefix string, rss string")
+    with pytest.raises(Exception, match="no download address in the feed of en"):
+        wikis.dump_urls(feeds).collect()
+
+
+def test_formats(spark):
+    row = spark.range(1).select(tx.thousands(F.lit(1234567)), tx.megabytes(F.lit(3 << 19)), tx.ratio(F.lit(1), F.lit(4)), tx.ratio(F.lit(1), F.lit(0)), tx.ratio(F.lit(1), F.lit(None).cast("long")), tx.percent(F.lit(0.256))).first()
+    assert tuple(row) == ("1,234,567", "1.50 MB", 0.25, 0.0, 0.0, "25.6%")
+
+
+def test_load_in_one_call(spark, dump, tmp_path):
+    """From three files to a search, and the same graph opened again."""
+    for kind, line in (("linktarget", "INSERT INTO `linktarget` VALUES (70,0,'Zoë'),(71,0,'Later');"), ("pagelinks", "INSERT INTO `pagelinks` VALUES (1,0,70),(8,0,71);")):
+        (tmp_path / f"xxwiki-20250801-{kind}.sql.gz").write_bytes(gzip.compress((line + "\n").encode()))
+    graph, took = load(spark, str(tmp_path), "xx", "20250801", str(tmp_path / "out"))
+    assert [r["path_text"] for r in searched(graph, "Plain Title", "Later", took).collect()] == ["Plain Title -> Zoë -> Later"]
+    assert set(took.ms) == {"page", "linktarget", "pagelinks", "build", "search"} and took.load_total == sum(took.ms.values()) - took.ms["search"]
+    assert LinkGraph.open(spark, str(tmp_path / "out" / "graph")).counts().first()["n_links"] == 2
+    with pytest.raises(MissingDump):
+        load(spark, str(tmp_path), "yy", "20250801", str(tmp_path / "out"))
+
+
 def test_catalog(spark, tmp_path):
     lines = spark.createDataFrame([(x,) for x in inline.STATS], "value string")
     online = wikis.stats(lines)
