@@ -309,3 +309,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def op4_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Links by counting shared shingles, and the smallest id reachable by walking along them.
+ORACLE = """WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM t),
+one AS (SELECT list_sort(s) AS s, min(doc_id) AS id, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY list_sort(s), len(s)),
+each AS (SELECT id, n, unnest(s) AS x FROM one),
+links AS (SELECT a.id AS a, b.id AS b FROM each a JOIN each b ON a.x = b.x AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+walk(id, seen) AS (SELECT id, id FROM one UNION SELECT walk.id, links.b FROM walk JOIN links ON links.a = walk.seen),
+least AS (SELECT id, min(seen) AS component FROM walk GROUP BY id)
+SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept
+FROM sets LEFT JOIN one ON one.s = list_sort(sets.s) LEFT JOIN least ON least.id = one.id"""

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import ORACLE as DECONTAMINATION_ORACLE
 from .decontaminate import op7_decontamination
 from .hash_forest import op5_nearest
 from .html_text import op9_html_text
+from .near_dup import ORACLE as NEAR_DUP_ORACLE
 from .near_dup import op4_minhash_hamming
 from .pii import op1_pii
 from .quotes import ORACLE as QUOTES_ORACLE
@@ -31,4 +33,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_rollup": op10_token_rollup,
 }
 
-ORACLES: dict[str, str] = {"op2_quote_links": QUOTES_ORACLE}
+ORACLES: dict[str, str] = {"op2_quote_links": QUOTES_ORACLE, "op4_minhash_hamming": NEAR_DUP_ORACLE, "op7_decontamination": DECONTAMINATION_ORACLE}
