@@ -3,6 +3,13 @@
 Order: toxic documents go, one document of each near-duplicate group stays,
 documents that hold a benchmark item go, personal data is masked, and what is
 left is encoded. Every stage but the last returns the columns of documents.
+
+Every stage reads whole texts, however long, and takes all that the one before
+it kept. Columns that it doesn't read pass through as they are, whatever their
+names. A null or empty text is no toxic, copied or leaked text and has no
+personal data and no tokens, so its row goes through to the end; so does a row
+without doc_id, but for toxicity. Rows that repeat a doc_id are one document to
+the near-duplicate stage, which leaves one of them. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,27 +21,27 @@ from hopweave.llm.runtime import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents whose noisy-or score is 0.7 or more go; trained on the labelled documents at hand."""
+    """Operator 6: rows whose calibrated noisy-or score is 0.7 or more go; trained on the labelled documents at hand. Where those are of one class, every row has the score of their share."""
     return toxicity.clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: the smallest id of each group stays."""
+    """Operator 4: the smallest id of each group stays; rows without an id stay."""
     return near_dup.one_of_each(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents that contain an item of `benchmark` go."""
+    """Operator 7: documents that contain an item of `benchmark` go; items without id or text are in none."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: every span found is written as its kind; n_chars follows."""
+    """Operator 1: every span found is written as its kind; n_chars follows the new text, and a null text stays null."""
     return pii.mask(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: doc_id, n_tokens, ids, round_trip."""
+    """Operator 8: doc_id, n_tokens, ids, round_trip; no tokens for a null or empty text."""
     return sentencepiece_codec.encoded(docs)
 
 
