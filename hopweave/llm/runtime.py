@@ -12,7 +12,7 @@ import zipfile
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
@@ -83,10 +83,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs nothing. The write counts its rows."""
+    path, seen = new_path(df.sparkSession, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._hopweave_rows = seen.get.get("n")  # none for an empty table whose plan was cut short
+    return out
+
+
+def rows_of(df: DataFrame) -> int:
+    """The rows of a table: known of a stored one, else counted."""
+    n = getattr(df, "_hopweave_rows", None)
+    return df.count() if n is None else n
 
 
 def dropped(*tables: DataFrame) -> None:
@@ -100,7 +108,7 @@ def dropped(*tables: DataFrame) -> None:
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if the (stored) table is counted and found small; else leave it to a shuffle join."""
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if rows_of(df) <= rows else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -125,6 +125,8 @@ class Codec:
         self.merge: set[int] = set()
         self.memory: dict[str, bytes] = {}  # of the last stretches, and of those before them
         self.older: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}  # the same for words that stand after one mark
+        self.older_plain: dict[str, bytes] = {}
         self.inside = {p[i : i + 2] for p in vocabulary.ids for i in range(len(p) - 1)}
         # lengths of the pieces that end with three characters (and of the shorter ones that may end there, too), longest first; of those that end with two
         ends: dict[str, set[int]] = {}
@@ -183,19 +185,28 @@ class Codec:
             for i in some:
                 yield self.names[i]
 
-    def committed(self, chunks: Iterable[str], begun: tuple[str, list[int | None]] | None = None) -> Iterator[list[int]]:
+    def committed(self, chunks: Iterable[str], apart: bool = False) -> Iterator[list[int]]:
         """The stream: the numbers of pieces, as many at a time as are decided.
 
-        begun (BPE): characters read before, none of them committed, and their lattice, which is carried on in place.
+        apart (BPE): each chunk is a stretch of its own, too short to be committed
+        before its end; it is carried on from where it begins to differ from the
+        one before, and all its pieces are given out at once.
         """
         number, length, scores, longest, sizes, pairs = self.number, self.length, self.scores, self.longest, self.sizes, self.pairs
-        apart, merge, one, bpe = self.apart, self.merge, (1,), self.v.kind == BPE
+        stay, merge, one, bpe = self.apart, self.merge, (1,), self.v.kind == BPE
         # what isn't committed, and the piece that ends at each boundary of it (of its begin: what was committed before, -1 for none; None where none can)
-        window, last = begun or ("", [-1])
-        n, due = len(window), 2 * longest  # how much of it is read, and when to look for a convergence
+        window, last = "", [-1]
+        n, due = 0, 2 * longest  # how much of it is read, and when to look for a convergence
         sums = [0.0]  # unigram: the best sum up to there
         for chunk in chunks:
-            window += chunk
+            if apart:
+                n, most = 0, min(len(window), len(chunk))
+                while n < most and window[n] == chunk[n]:
+                    n += 1
+                del last[n + 1 :]
+                window = chunk
+            else:
+                window += chunk
             while n < len(window):
                 for n in range(n + 1, min(len(window), due) + 1):
                     best, top = None, 0.0
@@ -211,7 +222,7 @@ class Codec:
                             before = last[n - size]
                             if before is None:
                                 continue
-                            if before < 0 or (key := before << 32 | piece) in apart or (key not in merge and self._stay(key)):
+                            if before < 0 or (key := before << 32 | piece) in stay or (key not in merge and self._stay(key)):
                                 best = piece
                                 break
                     else:
@@ -232,8 +243,11 @@ class Codec:
                         last, window, n = last[to:], window[to:], n - to
                         sums = sums[to:]
                     due = max(2 * longest, n + longest)
+            if apart:
+                yield self._path(last, n)
         self.widest = max(self.widest, n)
-        yield self._path(last, n)
+        if not apart:
+            yield self._path(last, n)
 
     def _meeting(self, last: list[int | None], n: int, longest: int) -> int:
         """The last boundary that the paths of all boundaries a later piece can begin at run through; 0 if there is none."""
@@ -255,28 +269,34 @@ class Codec:
             to -= self.length[i]
         return out[::-1]
 
-    def learn(self, stretches: Iterable[str]) -> None:
-        """Put stretches into the table, in an order in which each begins as the one before, so that their lattices share a stem."""
-        if self.v.kind != BPE:
-            return
-        memory, older = self.memory, self.older
-        parts = {p for s in stretches if s not in memory and s not in older and len(s) <= REMEMBERED_CHARS for p in self._parts(s)}
-        stem, last, packed = "", [-1], self.packed
-        for part in sorted(p for p in parts if p not in memory and p not in older and len(p) < 2 * self.longest):  # none long enough to commit
-            k, most = 0, min(len(stem), len(part))
-            while k < most and stem[k] == part[k]:
-                k += 1
-            del last[k + 1 :]
-            (found,) = self.committed((part[k:],), (part[:k], last))
-            self._kept(part, b"".join([packed[i] for i in found]))
-            stem = part
+    def learn(self, words: Iterable[str]) -> None:
+        """Put words, each after one mark, into the table, in an order in which each begins as the one before, so that their lattices share a stem."""
+        plain, old = self.plain, self.older_plain
+        new = {w: self._parts(MARK + w) for w in words if w not in plain and w not in old and len(w) < REMEMBERED_CHARS}
+        parts = {p for ps in new.values() for p in ps}
+        if self.v.kind == BPE:
+            memory, older, packed, longest = self.memory, self.older, self.packed, 2 * self.longest
+            ordered = sorted(p for p in parts if p not in memory and p not in older and len(p) < longest)
+            for part, found in zip(ordered, self.committed(ordered, apart=True), strict=True):
+                self._kept(part, b"".join([packed[i] for i in found]))
+        if len(plain) >= REMEMBERED:
+            self.older_plain, self.plain = plain, {}
+        get, put = self.memory.get, self.plain
+        for w, ps in new.items():
+            put[w] = b"".join([get(p) or self._part(p) for p in ps])
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word after one mark."""
+        known = self.older_plain.get(word)
+        if known is None:
+            known = self._of(MARK + word)
+        if len(word) < REMEMBERED_CHARS:
+            self.plain[word] = known
+        return known
 
     def _of(self, stretch: str) -> bytes:
-        """The ids of a stretch whose ends no piece crosses: from the table, or streamed in parts."""
-        known = self.older.get(stretch)
-        if known is None:
-            known = b"".join([self.memory.get(p) or self._part(p) for p in self._parts(stretch)])
-        return self._kept(stretch, known)
+        """The ids of a stretch whose ends no piece crosses: of its parts, from the table or streamed."""
+        return b"".join([self.memory.get(p) or self._part(p) for p in self._parts(stretch)])
 
     def _part(self, part: str) -> bytes:
         chunks = (part,) if len(part) <= CHUNK else (part[i : i + CHUNK] for i in range(0, len(part), CHUNK))
@@ -324,19 +344,28 @@ class Codec:
                 out.append(marks[:-1])  # the text's end
         return [head, *out] if head else out
 
+    def words(self, text: str) -> list[str] | None:
+        """The words of a text in which each stands after one mark; None if it is another text."""
+        if self.crossing or not self.v.prefix or not text or MARK in text:
+            return None
+        out = text.split(" ")
+        return None if "" in out else out
+
     def encode(self, text: str) -> np.ndarray:
         """Token ids; an empty text has none."""
-        get = self.memory.get
-        return np.frombuffer(b"".join([get(w) or self._of(w) for w in self.stretches(text)]), dtype="<i4")
+        return np.frombuffer(b"".join(map(self._of, self.stretches(text))), dtype="<i4")
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
-        cut = [self.stretches(t) for t in texts]
-        self.learn(set().union(*cut))
+        cut = [self.words(t) for t in texts]
+        self.learn(set().union(*(w for w in cut if w)))
         out = []
-        for words in cut:
-            get = self.memory.get
-            out.append(np.frombuffer(b"".join([get(w) or self._of(w) for w in words]), dtype="<i4"))
+        for text, words in zip(texts, cut, strict=True):
+            if words is None:
+                out.append(self.encode(text))
+            else:
+                get = self.plain.get
+                out.append(np.frombuffer(b"".join([get(w) or self._word(w) for w in words]), dtype="<i4"))
         return out
 
     def decode(self, ids) -> str:
