@@ -44,8 +44,8 @@ MARK = "▁"
 #: Stretches and pairs of pieces that a task's tables hold, and the longest stretch they hold.
 REMEMBERED = 200_000
 REMEMBERED_CHARS = 48
-#: Characters that a stream takes at a time.
-CHUNK = 512
+#: Characters that a stream takes at a time, and bytes of texts whose words are learned together.
+CHUNK, TOGETHER = 512, 2 << 20
 BPE, UNIGRAM = "bpe", "unigram"
 
 
@@ -379,11 +379,24 @@ class Codec:
         return raw == (b" " if self.v.prefix and text else b"") + text.encode("utf-8", "surrogatepass") or self.decode(ids.tolist()) == text
 
 
+def _gathered(batches, most: int):
+    """Batches put together to about so many bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _encoder(v: Vocabulary, digests: bool):
     def run(batches):
         codec = Codec(v)  # a task's own, gone with it
-        for whole in batches:
-            for b in textkit.slices(whole, "text"):
+        for whole in _gathered(batches, TOGETHER):
+            for b in textkit.slices(whole, "text", TOGETHER):
                 texts = [t or "" for t in b.column("text").to_pylist()]
                 ids = codec.encode_all(texts)
                 counts = pa.array([len(x) for x in ids], pa.int64())
