@@ -311,9 +311,18 @@ def test_bands_hold_the_bound():
 
 
 def test_prefix_lengths():
-    codes = np.sort(np.random.default_rng(2).integers(0, 1 << 8, 50))
-    for c in (0, 77, 255):
-        assert hash_forest._lengths(codes, c, 8).tolist() == [sum(x >> (8 - k) == c >> (8 - k) for x in codes.tolist()) for k in range(9)]
+    """The range of a prefix holds the rows that share it, at every length and in every tree; the first ascent stops as soon as they are enough."""
+    x = hash_forest._units(np.random.default_rng(2).standard_normal((60, 8)))
+    forest, every = hash_forest.Forest(x, 5, 8), hash_forest.codes(x, 5, 8)
+    met = np.zeros((60, 9), dtype=int)
+    for t in range(5):
+        for k in range(9):
+            a, b = forest.ranges(t, every[:, t], np.full(60, k))
+            want = [set(np.flatnonzero(every[:, t] >> (8 - k) == c >> (8 - k)).tolist()) for c in every[:, t]]
+            assert [set(forest.order[i:j, t].tolist()) for i, j in zip(a, b, strict=True)] == want
+            met[:, k] += b - a
+    level = forest.first_levels(every, 40)
+    assert all((level[i] == 0 or met[i, level[i]] >= 40) and (level[i] == 8 or met[i, level[i] + 1] < 40) for i in range(60))
 
 
 def test_token_pieces_join():
