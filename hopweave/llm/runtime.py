@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import os
 import shutil
@@ -12,6 +13,7 @@ import zipfile
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,13 @@ def mapped(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(tidy(run), schema)
 
 
+def relieved(spark: SparkSession) -> None:
+    """Have the executors' JVMs collect and give back the heap that earlier work grew, which else stays for good: on every core a task that calls System.gc, before work that needs the room for its Python workers."""
+    n = spark.sparkContext.defaultParallelism
+    with contextlib.suppress(AnalysisException):  # reflection isn't allowed everywhere
+        spark.range(0, n, 1, n).select(F.call_function("java_method", F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where it is unset a local session (tests) gets a temporary one; a cluster must name it."""
     at = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""

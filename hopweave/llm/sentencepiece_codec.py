@@ -272,18 +272,26 @@ class Codec:
     def learn(self, words: Iterable[str]) -> None:
         """Put words, each after one mark, into the table, in an order in which each begins as the one before, so that their lattices share a stem."""
         plain, old = self.plain, self.older_plain
-        new = {w: self._parts(MARK + w) for w in words if w not in plain and w not in old and len(w) < REMEMBERED_CHARS}
-        parts = {p for ps in new.values() for p in ps}
+        new = [w for w in words if w not in plain and w not in old and len(w) < REMEMBERED_CHARS]
+        cut = {w: ps for w in new if len(ps := self._parts(MARK + w)) > 1}
+        fresh: dict[str, bytes] = {}  # parts that no table has
         if self.v.kind == BPE:
             memory, older, packed, longest = self.memory, self.older, self.packed, 2 * self.longest
-            ordered = sorted(p for p in parts if p not in memory and p not in older and len(p) < longest)
+            parts = {MARK + w for w in new if w not in cut}.union(*cut.values())
+            ordered = sorted(p for p in parts if p not in memory and p not in older and p[1:] not in plain and p[1:] not in old and len(p) < longest)
+            del parts
             for part, found in zip(ordered, self.committed(ordered, apart=True), strict=True):
-                self._kept(part, b"".join([packed[i] for i in found]))
+                fresh[part] = b"".join([packed[i] for i in found])
+            del ordered
         if len(plain) >= REMEMBERED:
             self.older_plain, self.plain = plain, {}
         get, put = self.memory.get, self.plain
-        for w, ps in new.items():
-            put[w] = b"".join([get(p) or self._part(p) for p in ps])
+        for w in new:
+            if w not in cut:  # its own entry is the only one of its one part
+                part = MARK + w
+                put[w] = fresh.pop(part, None) or get(part) or self._found(part)
+        for w, ps in cut.items():
+            put[w] = b"".join([get(p) or (self._kept(p, fresh[p]) if p in fresh else self._part(p)) for p in ps])
 
     def _word(self, word: str) -> bytes:
         """The ids of a word after one mark."""
@@ -299,8 +307,13 @@ class Codec:
         return b"".join([self.memory.get(p) or self._part(p) for p in self._parts(stretch)])
 
     def _part(self, part: str) -> bytes:
+        if part[0] == MARK and (known := self.plain.get(part[1:]) or self.older_plain.get(part[1:])):
+            return known
+        return self._kept(part, self._found(part))
+
+    def _found(self, part: str) -> bytes:
         chunks = (part,) if len(part) <= CHUNK else (part[i : i + CHUNK] for i in range(0, len(part), CHUNK))
-        return self._kept(part, self.older.get(part) or b"".join([self.packed[i] for some in self.committed(chunks) for i in some]))
+        return self.older.get(part) or b"".join([self.packed[i] for some in self.committed(chunks) for i in some])
 
     def _kept(self, stretch: str, known: bytes) -> bytes:
         if len(stretch) <= REMEMBERED_CHARS:

@@ -88,6 +88,14 @@ def test_learned_stretches_are_the_streamed_ones():
     assert [x.tolist() for x in one.encode_all(texts)] == [other.encode(t).tolist() for t in texts]
 
 
+def test_a_word_is_in_one_table():
+    v = sc.load()
+    codec, other = sc.Codec(v), sc.Codec(v)
+    texts = ["the rain in Spain falls mainly", "the  rain\n\nmainly  therein", "therein, Spain"]
+    assert [[x.tolist() for x in codec.encode_all([t])] for t in texts] == [[other.encode(t).tolist()] for t in texts]
+    assert {"the", "rain", "Spain"} <= codec.plain.keys() and not {sc.MARK + w for w in texts[0].split()} & codec.memory.keys()
+
+
 @pytest.mark.parametrize(("query", "plain", "kinds", "module"), [(pii.op1_pii, plain_pii, pii.BASE, pii), (secrets.op3_secrets, plain_secrets, secrets.BASE, secrets)])
 def test_base_spans_on_a_whole_table(spark, sf_dir, query, plain, kinds, module):
     texts = {r["doc_id"]: r["text"] or "" for r in table(spark, sf_dir, "documents").collect()}

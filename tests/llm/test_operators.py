@@ -323,3 +323,15 @@ def test_rollup_covers_all_documents(spark, tmp_path):
     docs(spark, [None, "", "the rain"]).withColumn("source", near_dup.F.when(near_dup.F.col("doc_id") == 0, "empty").otherwise("s")).write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r["source"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in token_counts.op10_token_rollup(spark, str(tmp_path)).collect()}
     assert got["s", token_counts.WORDS] == (2, 2) and got["empty", token_counts.WORDS] == got["empty", token_counts.BPE] == (1, 0)
+
+
+def test_stages_begin_with_memory_given_back(spark, sf_dir):
+    import corpus_pipeline
+
+    def collections():
+        return sum(g.getCollectionCount() for g in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Young" not in g.getName())
+
+    for name, stage in corpus_pipeline.STAGES:
+        before = collections()
+        stage(spark, docs(spark, ODD), sf_dir)
+        assert collections() > before, name
